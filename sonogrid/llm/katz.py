@@ -111,9 +111,9 @@ def _asked(block: str, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pd
     return pd.DataFrame(
         {
             "bucket": pd.Series(some, dtype="int64"),
-            "block": [block] * len(some),
-            "keys": [keys[at[b] : at[b + 1]].tobytes() for b in some],
-            "counts": [counts[at[b] : at[b + 1]].tobytes() for b in some],
+            "block": pd.Series([block] * len(some), dtype=object),
+            "keys": pd.Series([keys[at[b] : at[b + 1]].tobytes() for b in some], dtype=object),
+            "counts": pd.Series([counts[at[b] : at[b + 1]].tobytes() for b in some], dtype=object),
         }
     )
 
@@ -144,7 +144,7 @@ def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
     bucket = int(pdf["bucket"].iloc[0])
     return pd.DataFrame(
         {
-            "block": [*pdf["block"], None],
+            "block": pd.Series([*pdf["block"], None], dtype=object),
             "bucket": [bucket] * (len(sizes) + 1),
             "totals": [reply[e - s : e].tobytes() for s, e in zip(sizes, ends)] + [stats.tobytes()],
             "more": [None] * (len(sizes) + 1),
@@ -162,7 +162,7 @@ def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
     ends = np.cumsum(sizes)
     return pd.DataFrame(
         {
-            "block": list(pdf["block"]),
+            "block": pd.Series(list(pdf["block"]), dtype=object),
             "bucket": list(pdf["bucket"]),
             "totals": [a[e - s : e].tobytes() for s, e in zip(sizes, ends)],
             "more": [b[e - s : e].tobytes() for s, e in zip(sizes, ends)],
@@ -299,7 +299,7 @@ def _score(words: Words, d2: np.ndarray, train_docs: int, n_train: int, n_types:
         starts = np.concatenate([[0], np.cumsum(block["size"])[:-1]])
         return pd.DataFrame(
             {
-                "doc_id": pd.Series(block["ids"], dtype="Int64").where(block["known"]),
+                "doc_id": pd.Series(pd.arrays.IntegerArray(block["ids"].copy(), ~block["known"])),
                 "held_out": block["held"],
                 "n_tokens": block["size"].astype(np.int64),
                 "n_known": np.add.reduceat((c[word] > 0).astype(np.int64), starts),

@@ -177,7 +177,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "d
     sample = docs.join(F.broadcast(chosen), "doc_id").select("quality", "text")
     got = sample.mapInArrow(_pool_rows(spark.sparkContext.broadcast(vectors)), "quality int, x binary").collect()
     got.sort(key=lambda r: (bytes(r.x), r.quality))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float64).reshape(len(got), -1)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float64).reshape(len(got), vectors.shape[1] + 1)
     model = fit(x, np.array([r.quality for r in got], np.float64))
     shared = spark.sparkContext.broadcast((vectors, model))
     return docs.mapInArrow(_scorer(shared), "doc_id long, held_out boolean, score double, predicted int")
