@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from sonogrid.llm import _text
 from sonogrid.llm._store import get_file, put_file, shared_dir, written
 
-BLOCK_TOKENS = 3_000_000
-BUCKET_KEYS = 2_000_000
+BLOCK_TOKENS = 1_500_000
+BUCKET_KEYS = 1_000_000
 K = 5
 END = np.uint64(0x9D5C1F0B7A3E4C61)
 START = np.uint64(0x3B8F5E2D91C07A46)
@@ -46,16 +46,33 @@ _REQUEST = "bucket long, block string, keys binary, counts binary"
 _REPLY = "block string, bucket long, totals binary, more binary"
 
 
+def _squeeze(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True) + len(data).to_bytes(8, "little")
+
+
+def _expand(data: bytes) -> bytes:
+    size = int.from_bytes(data[-8:], "little")
+    return pa.decompress(data[:-8], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte: leading bytes are mostly zero and vanish."""
+    return _squeeze(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_expand(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _save(uri: str, **arrays) -> None:
     out = io.BytesIO()
     np.savez(out, **arrays)
-    put_file(uri, pa.compress(out.getvalue(), codec="zstd", asbytes=True) + len(out.getvalue()).to_bytes(8, "little"))
+    put_file(uri, _squeeze(out.getvalue()))
 
 
 def _load(uri: str) -> dict[str, np.ndarray]:
-    data = get_file(uri)
-    size = int.from_bytes(data[-8:], "little")
-    with np.load(io.BytesIO(pa.decompress(data[:-8], decompressed_size=size, codec="zstd", asbytes=True))) as got:
+    with np.load(io.BytesIO(_expand(get_file(uri)))) as got:
         return dict(got)
 
 
@@ -112,14 +129,14 @@ def _asked(block: str, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pd
         {
             "bucket": pd.Series(some, dtype="int64"),
             "block": pd.Series([block] * len(some), dtype=object),
-            "keys": pd.Series([keys[at[b] : at[b + 1]].tobytes() for b in some], dtype=object),
-            "counts": pd.Series([counts[at[b] : at[b + 1]].tobytes() for b in some], dtype=object),
+            "keys": pd.Series([_pack_keys(keys[at[b] : at[b + 1]]) for b in some], dtype=object),
+            "counts": pd.Series([_squeeze(counts[at[b] : at[b + 1]].tobytes()) for b in some], dtype=object),
         }
     )
 
 
 def _answered(pdf: pd.DataFrame, column: str, dtype) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, dtype) for x in pdf.sort_values("bucket")[column]] or [np.zeros(0, dtype)])
+    return np.concatenate([np.frombuffer(_expand(x), dtype) for x in pdf.sort_values("bucket")[column]] or [np.zeros(0, dtype)])
 
 
 def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,9 +145,11 @@ def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
     One more row, without block, has the counts of counts: of all keys, of 1 .. K + 1.
     """
     pdf = pdf.sort_values("block")
-    sizes = [len(x) // 8 for x in pdf["keys"]]
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-    counts = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["counts"]]).astype(np.int64)
+    asked = [_unpack_keys(x) for x in pdf["keys"]]
+    sizes = [len(x) for x in asked]
+    keys = np.concatenate(asked)
+    del asked
+    counts = np.concatenate([np.frombuffer(_expand(x), np.int32) for x in pdf["counts"]])
     distinct, which = np.unique(keys, return_inverse=True)
     total = np.bincount(which, counts, len(distinct)).astype(np.int64)
     own = np.zeros(len(keys), np.int64)
@@ -146,7 +165,7 @@ def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
         {
             "block": pd.Series([*pdf["block"], None], dtype=object),
             "bucket": [bucket] * (len(sizes) + 1),
-            "totals": [reply[e - s : e].tobytes() for s, e in zip(sizes, ends)] + [stats.tobytes()],
+            "totals": [_squeeze(reply[e - s : e].tobytes()) for s, e in zip(sizes, ends)] + [stats.tobytes()],
             "more": [None] * (len(sizes) + 1),
         }
     )
@@ -154,9 +173,10 @@ def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
     """A bucket: for each asked history both back-off sums over all blocks."""
-    sizes = [len(x) // 8 for x in pdf["keys"]]
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-    pairs = np.concatenate([np.frombuffer(x, np.float64).reshape(-1, 2) for x in pdf["counts"]])
+    asked = [_unpack_keys(x) for x in pdf["keys"]]
+    sizes = [len(x) for x in asked]
+    keys = np.concatenate(asked)
+    pairs = np.concatenate([np.frombuffer(_expand(x), np.float64).reshape(-1, 2) for x in pdf["counts"]])
     distinct, which = np.unique(keys, return_inverse=True)
     a, b = (np.bincount(which, pairs[:, i], len(distinct))[which] for i in (0, 1))
     ends = np.cumsum(sizes)
@@ -164,8 +184,8 @@ def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
         {
             "block": pd.Series(list(pdf["block"]), dtype=object),
             "bucket": list(pdf["bucket"]),
-            "totals": [a[e - s : e].tobytes() for s, e in zip(sizes, ends)],
-            "more": [b[e - s : e].tobytes() for s, e in zip(sizes, ends)],
+            "totals": [_squeeze(a[e - s : e].tobytes()) for s, e in zip(sizes, ends)],
+            "more": [_squeeze(b[e - s : e].tobytes()) for s, e in zip(sizes, ends)],
         }
     )
 
@@ -224,10 +244,21 @@ def _ask_words(buckets: int):
     return run
 
 
-def _pair_keys(block: dict, pair: np.ndarray) -> np.ndarray:
+def _known_pairs(block: dict, c: np.ndarray):
+    """(pairs of known words in the order of their keys, keys, training counts); a pair is history * (words + 1) + word.
+
+    Keys keep 54 bits of the hash, with which the packed keys are half as long.
+    """
+    history, word, text = _events(block)
+    n = len(block["words"]) + 1
+    known = np.append(c, 1) > 0
+    use = known[history] & known[word]
+    pair, which = np.unique(history[use] * n + word[use], return_inverse=True)
+    counts = np.bincount(which, ~block["held"][text[use]], len(pair)).astype(np.int32)
     hashed = np.append(block["words"], START)
-    n = len(hashed)
-    return _text.mix64(hashed[pair // n] * np.uint64(0x9FB21C651E98DF25) + _text.mix64(hashed[pair % n]))
+    keys = _text.mix64(hashed[pair // n] * np.uint64(0x9FB21C651E98DF25) + _text.mix64(hashed[pair % n])) >> np.uint64(10) << np.uint64(10)
+    order = np.argsort(keys, kind="stable")
+    return pair[order], keys[order], counts[order]
 
 
 def _ask_pairs(buckets: int):
@@ -237,37 +268,36 @@ def _ask_pairs(buckets: int):
         uri = pdf["block"].iloc[0]
         block = _load(uri)
         c = _answered(pdf, "totals", np.int64) >> 1
-        history, word, text = _events(block)
-        n = len(block["words"]) + 1
-        pair, which = np.unique(history * n + word, return_inverse=True)
-        counts = np.bincount(which, ~block["held"][text], len(pair)).astype(np.int32)
-        known = np.append(c, 1) > 0
-        asked = np.flatnonzero(known[pair // n] & known[pair % n])
-        keys = _pair_keys(block, pair[asked])
-        order = np.argsort(keys)
-        _save(f"{uri}.words", c=c, asked=pair[asked][order])
-        return _asked(uri, keys[order], counts[asked][order], buckets)
+        _save(f"{uri}.words", c=c)
+        _, keys, counts = _known_pairs(block, c)
+        return _asked(uri, keys, counts, buckets)
 
     return run
 
 
+def _seen(block: dict, c: np.ndarray, train_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words and the start, those with a training count in the order of their hashes)."""
+    hashed = np.append(block["words"], START)
+    seen = np.flatnonzero(np.append(c, train_docs) > 0)
+    return hashed, seen[np.argsort(hashed[seen])]
+
+
 def _ask_backoff(buckets: int, words: Words, d2: np.ndarray, train_docs: int):
     """A block's pair counts arrive; it keeps them and adds its own pairs' shares to the back-off sums."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         uri = pdf["block"].iloc[0]
-        block, got = _load(uri), _load(f"{uri}.words")
+        block, c = _load(uri), _load(f"{uri}.words")["c"]
+        pair = _known_pairs(block, c)[0]
         reply = _answered(pdf, "totals", np.int64)
         c2, own = reply >> 1, (reply & 1) == 1
         n = len(block["words"]) + 1
-        h, w = got["asked"][own] // n, got["asked"][own] % n
+        h, w = pair[own] // n, pair[own] % n
         mass = c2[own] * d2[np.where(c2[own] > K, 0, c2[own])]
         a = np.bincount(h, mass, n)
-        b = np.bincount(h, words.p(got["c"][w]), n)
-        hashed = np.append(block["words"], START)
-        seen = np.flatnonzero(np.append(got["c"], train_docs) > 0)
-        seen = seen[np.argsort(hashed[seen])]
-        _save(f"{uri}.pairs", c2=c2, seen=seen)
+        b = np.bincount(h, words.p(c[w]), n)
+        _save(f"{uri}.pairs", c2=c2)
+        hashed, seen = _seen(block, c, train_docs)
         return _asked(uri, hashed[seen], np.stack([a[seen], b[seen]], axis=1), buckets)
 
     return run
@@ -276,25 +306,27 @@ def _ask_backoff(buckets: int, words: Words, d2: np.ndarray, train_docs: int):
 def _score(words: Words, d2: np.ndarray, train_docs: int, n_train: int, n_types: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         uri = pdf["block"].iloc[0]
-        block, one, two = _load(uri), _load(f"{uri}.words"), _load(f"{uri}.pairs")
-        history, word, _ = _events(block)
-        c, n = one["c"], len(block["words"]) + 1
+        block, c, c2 = _load(uri), _load(f"{uri}.words")["c"], _load(f"{uri}.pairs")["c2"]
+        n = len(block["words"]) + 1
         ch = np.append(c, train_docs).astype(float)
         left, below = np.ones(n), np.zeros(n)
-        left[two["seen"]] = 1 - _answered(pdf, "totals", np.float64) / np.maximum(1, ch[two["seen"]])
-        below[two["seen"]] = _answered(pdf, "more", np.float64)
+        _, seen = _seen(block, c, train_docs)
+        left[seen] = 1 - _answered(pdf, "totals", np.float64) / np.maximum(1, ch[seen])
+        below[seen] = _answered(pdf, "more", np.float64)
         none = (ch > 0) & (left < 1e-9)
         scale = np.where(none, ch / (ch + 1), 1.0)
         left = np.where(none, 1 / (ch + 1), left)
         alpha = np.where(ch > 0, left / np.maximum(1e-12, 1 - below), 1.0)
-        order = np.argsort(one["asked"])
-        asked = np.append(one["asked"][order], -1)
-        count = np.append(two["c2"][order], 0)
-        at = np.searchsorted(asked[:-1], history * n + word)
-        c2 = np.where(asked[at] == history * n + word, count[at], 0)
+        pair = _known_pairs(block, c)[0]
+        order = np.argsort(pair)
+        pair, count = np.append(pair[order], -1), np.append(c2[order], 0)
+        del order
+        history, word, _ = _events(block)
+        at = np.searchsorted(pair[:-1], history * n + word)
+        c2 = np.where(pair[at] == history * n + word, count[at], 0)
         p1 = words.p(c)
-        seen = c2 * d2[np.where(c2 > K, 0, c2)] / np.maximum(1, ch[history]) * scale[history]
-        p = np.where(c2 > 0, seen, alpha[history] * p1[word])
+        direct = c2 * d2[np.where(c2 > K, 0, c2)] / np.maximum(1, ch[history]) * scale[history]
+        p = np.where(c2 > 0, direct, alpha[history] * p1[word])
         base = np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1)))
         starts = np.concatenate([[0], np.cumsum(block["size"])[:-1]])
         return pd.DataFrame(
