@@ -3,17 +3,20 @@
 A text is the set of its distinct k-word shingles (64-bit hashes).  Two texts
 link when ``den * |A & B| >= num * |A | B|``.
 
-1.  One pass hashes each text's set to 128 bits and counts all shingles of all
-    texts in a count sketch of 2**SKETCH_BITS cells, a fixed size whatever the
-    input.  Texts with equal sets form a class; the class goes on as one.
-2.  A second pass orders each set by (sketched frequency, hash), rarest first,
-    and cuts the prefix.  With matches required l = 1 it has n - T + 1 tokens,
+1.  One pass hashes each text's set to 128 bits.  Texts with equal sets form a
+    class; the class goes on as one.
+2.  A second pass takes from each set its tokens whose hash lies in the lowest
+    LISTED * (1 - t) of all hashes, and further ones by hash where these do not
+    fill the longest prefix.  The frequencies of the listed tokens are counted
+    exactly.  The global order is: listed tokens by (frequency, hash), then the
+    others by hash; so prefixes fill with listed tokens that occur once, which
+    need no posting.  With matches required l = 1 a prefix has n - T + 1 tokens,
     T being the least overlap with any partner; each further required match
     lengthens it by one token.  Each text takes the l of 1..MAX_MATCHES with
-    the least estimated cost: tokens' frequencies summed over the prefix (the
-    postings to read) plus VERIFY times that sum / l (a bound on the candidates
-    that reach l matches).  A pair uses the smaller l of the two.
-3.  Tokens with one posting are dropped.  The rest get a 256-bit parity bitmap
+    the least estimated cost: the frequencies summed over the prefix (postings
+    to read) plus VERIFY times that sum / l (a bound on the candidates that
+    reach l matches).  A pair uses the smaller l of the two.
+3.  Tokens with one posting left are dropped.  The rest get a 256-bit parity bitmap
     of their set, which bounds the difference of two sets from below.
 4.  Star round: in each token's list every text meets only the list's first
     one.  Links found are merged into classes, so that a group of thousands of
@@ -43,11 +46,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonogrid.llm import _sketch, _text
+from sonogrid.llm import _text
 from sonogrid.llm._store import written
 from sonogrid.llm.components import components
 
-SKETCH_BITS = 18
+LISTED = 2.0
 MAX_MATCHES = 4
 VERIFY = 8.0
 BLOCK = 2048
@@ -70,84 +73,54 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _summaries(k: int):
-    """mapInArrow: a row for each text, and at the end the task's sketch in chunks."""
+    """mapInArrow: size and two sums of hashes of each text's set."""
 
     def run(batches):
-        cells = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             n = batch.num_rows
             size, k1, k2 = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            kept, held = [], 0
             for row, s in _sets(batch, k):
                 size[row] = len(s)
                 k1[row] = _text.mix64(s).sum(dtype=np.uint64).view(np.int64)
                 k2[row] = _text.mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)
-                kept.append(s >> np.uint64(64 - SKETCH_BITS))
-                held += len(s)
-                if held > 1 << 19:
-                    cells += np.bincount(np.concatenate(kept).astype(np.int64), minlength=len(cells))
-                    kept, held = [], 0
-            if kept:
-                cells += np.bincount(np.concatenate(kept).astype(np.int64), minlength=len(cells))
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(k1), pa.array(k2), none, pa.nulls(n, pa.binary())],
-                ["doc_id", "n", "k1", "k2", "chunk", "counts"],
-            )
-        for part in _sketch.chunks(cells):
-            none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, *part.columns], ["doc_id", "n", "k1", "k2", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(k1), pa.array(k2)], ["doc_id", "n", "k1", "k2"])
 
     return run
 
 
-def _frequencies(parts: DataFrame) -> np.ndarray:
-    """The summed sketch less its mean load: how often a cell's tokens occur beyond chance."""
-    cells = _sketch.total(parts, 1 << SKETCH_BITS)
-    return np.clip(cells - int(cells.mean()), 1, 2**31 - 1).astype(np.int32)
-
-
 def least_overlap(n: int, num: int, den: int) -> int:
     """Smallest overlap of a set of n with any set it links with."""
     return -(-num * n // den)
 
 
-def choose_matches(f: np.ndarray, base: int) -> int:
-    """Required matches l for a text with token frequencies ``f`` in order; prefix length is base + l - 1."""
-    top = min(MAX_MATCHES, len(f) - base + 1)
-    reads = np.cumsum(f[: base + top - 1].astype(np.float64))
-    cost = [reads[base + m - 2] * (1 + VERIFY / m) for m in range(1, top + 1)]
-    return int(np.argmin(cost)) + 1
+def matches_by_cost() -> str:
+    """SQL: the required matches whose cost f{l} * (1 + VERIFY / l) is least, f{l} being the frequencies summed over the prefix for l."""
+    costs = [f"f{m} * {1 + VERIFY / m}D" for m in range(1, MAX_MATCHES + 1)]
+    least = f"least({', '.join(costs)})"
+    return "case " + " ".join(f"when {c} <= {least} then {m}" for m, c in enumerate(costs, 1)) + " end"
 
 
-def _prefixes(k: int, num: int, den: int, shared):
+def _listed(k: int, num: int, den: int):
+    """mapInArrow: of each text its first tokens by hash, all listed ones and at least the longest prefix."""
+    bound = np.uint64(min(2**64 - 1, int(2**64 * LISTED * (den - num) / den)))
+
     def run(batches):
-        freq = shared.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            out_id, out_n, out_l, out_t = [], [], [], []
+            out_id, out_n, out_s, out_t = [], [], [], []
             for row, s in _sets(batch, k):
                 n = len(s)
-                base = n - least_overlap(n, num, den) + 1
-                f = freq[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                want = min(n, base + MAX_MATCHES - 1)
-                if want < n:
-                    # hashes are sorted, so a stable choice by frequency is ordered by (frequency, hash)
-                    near = np.flatnonzero(f <= np.partition(f, want - 1)[want - 1])
-                    order = near[np.argsort(f[near], kind="stable")][:want]
-                else:
-                    order = np.argsort(f, kind="stable")
-                matches = choose_matches(f[order], base)
+                listed = int(np.searchsorted(s, bound))
                 out_id.append(ids[row])
                 out_n.append(n)
-                out_l.append(matches)
-                out_t.append(s[order[: base + matches - 1]].view(np.int64))
+                out_s.append(listed)
+                out_t.append(s[: max(listed, min(n, n - least_overlap(n, num, den) + MAX_MATCHES))].view(np.int64))
             lens = np.fromiter(map(len, out_t), np.int32, len(out_t))
             offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
             values = np.concatenate(out_t) if out_t else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_id, pa.int64()), pa.array(out_n, pa.int32()), pa.array(out_l, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                ["doc_id", "n", "l", "tokens"],
+                [pa.array(out_id, pa.int64()), pa.array(out_n, pa.int32()), pa.array(out_s, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                ["doc_id", "n", "listed", "tokens"],
             )
 
     return run
@@ -220,27 +193,30 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     ``num / den`` is the least Jaccard similarity of a link.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = written(docs.mapInArrow(_summaries(k), "doc_id long, n long, k1 long, k2 long, chunk long, counts binary"))
-    rows = seen.where("chunk is null").select("doc_id", "n", "k1", "k2")
-    shared = spark.sparkContext.broadcast(_frequencies(seen.where("chunk is not null").select("chunk", "counts")))
+    rows = written(docs.mapInArrow(_summaries(k), "doc_id long, n long, k1 long, k2 long"))
 
     full = rows.where("n > 0 and doc_id is not null")
     classes = written(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id")))
-    reps = classes.select(F.col("class_id").alias("doc_id"))
-
-    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(k, num, den, shared), "doc_id long, n int, l int, tokens array<bigint>")
+    copies = written(full.join(classes, ["k1", "k2", "n"]).where("doc_id <> class_id").select("doc_id").distinct())
+
+    tokens = docs.where("doc_id is not null").mapInArrow(_listed(k, num, den), "doc_id long, n int, listed int, tokens array<bigint>")
+    few = copies.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    tokens = tokens.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
+    # at: the token's place by hash; for tokens that are not listed that is its place in the global order
+    postings = tokens.select("doc_id", "n", "listed", F.posexplode("tokens").alias("at", "token"))
+    counted = postings.withColumn("freq", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("freq > 1")
+    counted = counted.withColumns({"is_listed": F.expr("at < listed"), "free": F.expr(f"n - cast(ceil(n * {num}D / {den}) as int)")})  # free: n - T
+    own = Window.partitionBy("doc_id")
+    # listed tokens that occur once come first and have no posting
+    rank = F.row_number().over(own.orderBy(F.col("is_listed").desc(), "freq", "token"))
+    placed = counted.withColumns({"rank": rank, "shared": F.sum(F.col("is_listed").cast("int")).over(own)})
+    placed = placed.withColumn("place", F.expr("if(is_listed, listed - shared + rank, at + 1)")).where(f"place <= free + {MAX_MATCHES}")
+    placed = placed.withColumns({f"f{m}": F.sum(F.expr(f"if(place <= free + {m}, freq, 0)")).over(own) for m in range(1, MAX_MATCHES + 1)})
     # level: the least number of required matches whose prefix holds the token
-    postings = prefixes.join(reps, "doc_id", "left_semi").select("doc_id", "n", "l", F.posexplode("tokens").alias("place", "token"))
-    over = f"(n - cast(ceil(n * {num}D / {den}) as int))"  # n - T
-    lists = (
-        postings.dropDuplicates(["token", "doc_id"])
-        .withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("token")))
-        .where("len > 1")
-        .select("token", "doc_id", "n", "l", F.expr(f"greatest(1, place + 1 - {over})").alias("level"))
-    )
-    lists = written(lists)
+    chosen = placed.withColumns({"l": F.expr(f"least({matches_by_cost()}, n - free)"), "level": F.expr("greatest(1, place - free)")}).where("level <= l")
+    lists = chosen.select("token", "doc_id", "n", "l", "level").dropDuplicates(["token", "doc_id"])
+    lists = written(lists.withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("len > 1").drop("len"))
     maps = written(_chosen(docs, lists.select("doc_id").distinct()).mapInArrow(_bitmaps(k), "doc_id long, b0 long, b1 long, b2 long, b3 long"))
     maps = maps.dropDuplicates(["doc_id"])
 
@@ -258,6 +234,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     # full round: lists that still hold several classes
     marked = lists.join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    marked = written(marked)
     mixed = marked.groupBy("token").agg(F.count(F.lit(1)).alias("len"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token", F.expr(f"cast(ceil(len / {BLOCK}) as int)").alias("blocks"))
     spread = marked.join(mixed, "token").join(maps, "doc_id").withColumn("mine", F.expr("pmod(xxhash64(doc_id), blocks)").cast("int"))
     blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))

@@ -86,11 +86,10 @@ def test_ngram_join_blocks_and_joins(spark, docs, monkeypatch):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
 
 
-def test_prefix_lengthens_with_cost():
-    rare, common = np.ones(30), np.r_[np.ones(3), np.full(27, 1000.0)]
-    assert ngram_join.choose_matches(np.full(30, 50.0), 20) > 1
-    assert ngram_join.choose_matches(common, 3) == 1
-    assert ngram_join.choose_matches(rare, 1) == 1 or ngram_join.choose_matches(rare, 1) <= ngram_join.MAX_MATCHES
+def test_prefix_lengthens_with_cost(spark):
+    costs = [(50, 51, 52, 53), (3, 1000, 2000, 3000), (0, 0, 0, 0), (900, 901, 2000, 2001)]
+    got = spark.createDataFrame(costs, "f1 long, f2 long, f3 long, f4 long").selectExpr(f"{ngram_join.matches_by_cost()} as l").collect()
+    assert [r.l for r in got] == [4, 1, 1, 2]
 
 
 def test_components(spark):
