@@ -11,7 +11,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: rows of a text table that are sent to a Python worker at once
+BATCH_ROWS = 512
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 #: one random 64-bit value a byte
@@ -41,6 +43,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow["p"][:n], _pow["i"][:n]
 
 
+def small_batches(spark) -> None:
+    """Keep the session's Arrow batches to BATCH_ROWS rows, as rows here are whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from sonogrid.llm import _text
 
-MAX_CACHED = 1 << 18
+MAX_CACHED = 1 << 16
 MAX_SIDE = 64
 _NONE = 1 << 62
 
@@ -364,6 +364,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep_ids: bool = False, i
 
     ``vocabulary`` is the path of a rank file on the driver.
     """
+    _text.small_batches(docs.sparkSession)
     ranks = load_ranks(vocabulary)
     name = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(ranks)

@@ -350,6 +350,7 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Model and base score of each row; rows with held_out true are not learned from."""
     spark = docs.sparkSession
+    _text.small_batches(spark)
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out)
     folder = shared_dir(spark)
     blocks = written(given.mapInArrow(_blocks(folder), "block string, n_words long, n_tokens long, train_tokens long, train_docs long"))

@@ -30,6 +30,8 @@ from sonogrid.llm._learn import Adam, about
 BUCKETS = 4096
 DIM = BUCKETS + 256
 MAX_TRAIN = 4000
+#: bytes of text whose dense features are held at once
+FEATURE_BYTES = 1 << 17
 MAX_LANGUAGES = 1000
 AMBIGUOUS = 0.02
 
@@ -104,7 +106,7 @@ def _featured(batches):
     for batch in batches:
         raw, offsets = _text.utf8(batch.column("text"))
         rows = []
-        for a, b in _text.slices(offsets):
+        for a, b in _text.slices(offsets, FEATURE_BYTES):
             rows += [r.astype(np.float16).tobytes() for r in features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(rows, pa.binary())], ["lang", "x"])
 
@@ -134,7 +136,7 @@ def _scorer(shared):
         for batch in batches:
             raw, offsets = _text.utf8(batch.column("text"))
             lang, score, unsure = [], [], []
-            for a, b in _text.slices(offsets):
+            for a, b in _text.slices(offsets, FEATURE_BYTES):
                 r, o = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 has = _letters(r, o)
                 if learnt is None:
@@ -159,6 +161,7 @@ def identify_languages(docs: DataFrame, usable=None, carry=(), id_col: str = "do
     ``usable`` restricts the rows learnt from; ``carry`` is (name, column) pairs.
     """
     spark = docs.sparkSession
+    _text.small_batches(spark)
     usable = F.lit(True) if usable is None else usable
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     shared = spark.sparkContext.broadcast(train(known, usable))

@@ -193,6 +193,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     ``num / den`` is the least Jaccard similarity of a link.
     """
+    _text.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(docs.mapInArrow(_summaries(k), "doc_id long, n long, k1 long, k2 long"))
 

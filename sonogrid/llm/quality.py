@@ -169,6 +169,7 @@ def _scorer(shared):
 def score_quality(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of each row; rows with held_out true lend no label."""
     spark = docs.sparkSession
+    _text.small_batches(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out)
     vectors = word_vectors(docs)
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))

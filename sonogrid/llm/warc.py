@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonogrid.llm import _text
 from sonogrid.llm._store import open_fs, shared_dir, written
 
 FILE_BYTES = 32 << 20
@@ -237,6 +238,7 @@ def _read(batches):
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Monolithic files of the pages; (file, place, page_id, payload_bytes, payload_digest) of each record."""
+    _text.small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
     return written(rows.mapInArrow(_write(shared_dir(pages.sparkSession)), _WRITTEN))
 
