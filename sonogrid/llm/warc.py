@@ -251,7 +251,9 @@ def normalise_archives(records: DataFrame, least: int = 0) -> DataFrame:
     marked = records.join(several, ["payload_digest", "payload_bytes"], "left")
     again = F.col("first").isNotNull() & ((F.col("file") != F.col("first.file")) | (F.col("place") != F.col("first.place")))
     marked = marked.select("file", "place", again.alias("revisit"), F.when(again, F.col("first.page_id")).alias("refers_to"))
-    return written(marked.groupBy("file").applyInPandas(_normalise, "file string"))
+    # a file is much work on few rows, so the number of tasks follows the files, not the rows' bytes
+    n = max(1, records.select("file").distinct().count())
+    return written(marked.repartition(n, "file").groupBy("file").applyInPandas(_normalise, "file string"))
 
 
 def read_archives(files: DataFrame) -> DataFrame:
