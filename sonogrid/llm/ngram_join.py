@@ -216,8 +216,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     placed = placed.withColumns({f"f{m}": F.sum(F.expr(f"if(place <= free + {m}, freq, 0)")).over(own) for m in range(1, MAX_MATCHES + 1)})
     # level: the least number of required matches whose prefix holds the token
     chosen = placed.withColumns({"l": F.expr(f"least({matches_by_cost()}, n - free)"), "level": F.expr("greatest(1, place - free)")}).where("level <= l")
-    lists = chosen.select("token", "doc_id", "n", "l", "level").dropDuplicates(["token", "doc_id"])
-    lists = written(lists.withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("len > 1").drop("len"))
+    lists = written(chosen.select("token", "doc_id", "n", "l", "level").dropDuplicates(["token", "doc_id"]))
+    # counted before the shuffle, so a long list never meets in one task
+    met_again = lists.groupBy("token").agg(F.count(F.lit(1)).alias("len")).where("len > 1").select("token")
+    lists = written(lists.join(met_again, "token", "left_semi").select(*lists.columns))
     maps = written(_chosen(docs, lists.select("doc_id").distinct()).mapInArrow(_bitmaps(k), "doc_id long, b0 long, b1 long, b2 long, b3 long"))
     maps = maps.dropDuplicates(["doc_id"])
 
