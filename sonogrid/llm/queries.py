@@ -79,5 +79,30 @@ g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP B
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)"""
 
 
+# links by joining the shingles of classes; a component's least id reaches all its members over greater ids
+_OP1 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM w),
+d AS (SELECT doc_id, len(s)::BIGINT AS n, s, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id FROM s),
+t AS (SELECT doc_id AS id, n, unnest(s) AS t FROM d WHERE doc_id = class_id AND n > 0),
+l AS (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.t = b.t AND a.id < b.id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id AND r.root < e.b),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT doc_id, n AS n_shingles, class_id, coalesce(root, class_id) AS component_id FROM d LEFT JOIN m ON m.id = class_id"""
+
+# base32: each five hexadecimal digits of the SHA-1 are four signs of five bits
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS head FROM pages),
+h AS (SELECT *, list_transform(range(8), lambda g: ('0x' || substr(sha1(html), 5 * g + 1, 5))::BIGINT) AS v FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> head THEN head END AS refers_to FROM h"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_filter.oracle(), "op9_exact_dedup": _OP9}
+    return {"op1_ngram_join": _OP1, "op3_warc": _OP3, "op8_url_filter": url_filter.oracle(), "op9_exact_dedup": _OP9}

@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import compare
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -86,6 +87,12 @@ def test_ngram_join_blocks_and_joins(spark, docs, monkeypatch):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    sf_dir = "/root/testdata/sf0.001"
+    assert compare.difference(spark, compare.connect(sf_dir), queries.queries()[name], queries.oracle_sql()[name], sf_dir) is None
+
+
 def test_prefix_lengthens_with_cost(spark):
     costs = [(50, 51, 52, 53), (3, 1000, 2000, 3000), (0, 0, 0, 0), (900, 901, 2000, 2001)]
     got = spark.createDataFrame(costs, "f1 long, f2 long, f3 long, f4 long").selectExpr(f"{ngram_join.matches_by_cost()} as l").collect()
