@@ -370,6 +370,46 @@ def test_mixing(spark, docs, monkeypatch):
     assert mixing.mixed(odd, keep=1.0).columns == df.columns
 
 
+def test_mixing_margins_of_sample(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for i in range(240):
+        n = 5 if i % 4 == 0 else rng.randint(90, 400)
+        word = "!!!!" if i % 7 == 1 else "abcde"
+        rows.append((i, " ".join([word] * n), rng.choice(["en"] * 5 + ["de", "fr"]), rng.choice(["a"] * 8 + ["b", "c"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(df, keep=0.6).collect()
+    total = sum(r.mix_tokens for r in got)
+    assert sum(r.mix_tokens * r.keep_probability for r in got) == pytest.approx(0.6 * total, rel=1e-6)
+    whole = 0
+    for axis, power in mixing.POWERS.items():
+        have, kept, short = collections.Counter(), collections.Counter(), {}
+        for r in got:
+            have[r[f"mix_{axis}"]] += r.mix_tokens
+            kept[r[f"mix_{axis}"]] += r.mix_tokens * r.keep_probability
+            short[r[f"mix_{axis}"]] = r[f"{axis}_shortfall"]
+        goal = {k: (v / total) ** power for k, v in have.items()}
+        goal = {k: v / sum(goal.values()) for k, v in goal.items()}
+        full = set()
+        while True:
+            level = (0.6 * total - sum(have[k] for k in full)) / sum(goal[k] for k in goal if k not in full)
+            more = {k for k in goal if k not in full and level * goal[k] > have[k]}
+            if not more:
+                break
+            full |= more
+        whole += len(full)
+        for k in goal:
+            assert kept[k] == pytest.approx(have[k] if k in full else level * goal[k], abs=1e-6 * total)
+            assert short[k] == pytest.approx(goal[k] - kept[k] / (0.6 * total), abs=1e-6)
+    assert whole and any(r.keep_probability < 1 for r in got)
+    monkeypatch.setattr(mixing, "MAX_CELLS", 0)
+    monkeypatch.setattr(mixing, "STEPS", 10)
+    far = {r.doc_id: r for r in mixing.mix(df, keep=0.6).collect()}
+    for r in got:
+        assert far[r.doc_id].keep_probability == pytest.approx(r.keep_probability, abs=1e-3)
+        assert far[r.doc_id].topic_shortfall == pytest.approx(r.topic_shortfall, abs=1e-4)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
