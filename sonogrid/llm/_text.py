@@ -127,7 +127,7 @@ def shingles(word: np.ndarray, first: np.ndarray, k: int):
     if not len(word):
         return np.zeros(0, np.uint64), to
     acc = np.zeros(max(0, len(word) - k + 1), np.uint64)
-    for j in range(k):
+    for j in range(k if len(acc) else 0):
         acc += word[j : len(word) - k + 1 + j] * _STEP[j]
     out = np.empty(int(to[-1]), np.uint64)
     pos = np.arange(to[-1]) - np.repeat(to[:-1] - first[:-1], n)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sonogrid.llm import bpe, components, exact_dedup, katz, language_id, mixing, ngram_join, order_minhash, quality, queries, url_filter, warc
+from sonogrid.llm import _text, bpe, components, exact_dedup, katz, language_id, mixing, ngram_join, order_minhash, quality, queries, url_filter, warc
 from sonogrid.llm._learn import remainder
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -370,6 +370,19 @@ def test_mixing(spark, docs, monkeypatch):
     assert mixing.mixed(odd, keep=1.0).columns == df.columns
 
 
+@pytest.mark.parametrize("n", range(1, 7))
+def test_shingles_of_few_words(n):
+    raw = np.frombuffer(" ".join("abcdef"[:n]).encode(), np.uint8)
+    for k in (3, 5):
+        found, to = _text.shingles(*_text.words(raw, np.array([0, len(raw)])), k)
+        assert len(found) == to[-1] == max(1, n - k + 1) == len(set(found.tolist()))
+
+
+def test_components_of_one_short_text(spark):
+    df = spark.createDataFrame([(1, "only three words")], "doc_id long, text string")
+    assert [tuple(r) for r in ngram_join.jaccard_components(df, k=5, num=80, den=100).select("doc_id", "n_shingles", "component_id").collect()] == [(1, 1, 1)]
+
+
 def test_mixing_margins_of_sample(spark, monkeypatch):
     rng = random.Random(3)
     rows = []
