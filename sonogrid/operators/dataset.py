@@ -205,6 +205,21 @@ def batches(ds: Dataset, split: str | None = None, batch_size: int = 64, shuffle
         yield batch()
 
 
+def cube_batches(ds: Dataset, use_z: bool | None = None, shuffle: bool = True, seed: int | None = None) -> Iterator[tuple]:
+    """(X, y) of a whole cube at a time, of shapes (1, H, W, F) and (1, H, W), or (X,) if unsupervised; one cube is on the driver at once."""
+    data = "z" if (use_z if use_z is not None else "z" in ds.df.columns) else "x"
+    if data not in ds.df.columns:
+        raise RuntimeError("no transformed features")
+    order = np.arange(len(ds.headers))
+    if shuffle:
+        np.random.default_rng(seed).shuffle(order)
+    for cube in order.tolist():
+        h, w = ds.cube_shapes[cube]
+        held = cube_data(ds, cube).select(data, "label").orderBy("row_id").collect()
+        x = np.array([r[data] for r in held], np.float32).reshape(1, h, w, -1)
+        yield (x,) if ds.unsupervised else (x, np.array([r.label for r in held], np.int8).reshape(1, h, w))
+
+
 def batch_numbers(ds: Dataset, batch_size: int = 64) -> DataFrame:
     """(row_id, batch) in row order: arithmetic on the explicit order."""
     return ds.df.select("row_id", F.expr(f"row_id div {batch_size}").alias("batch"))

@@ -187,3 +187,20 @@ def test_header():
     h = Header(4, 3, 5, 25.0, 10, extra={"k": 1})
     assert Header.from_json(h.to_json()) == h and h.spacing == 40.0 and h.time(1, 3) == [50.0, 90.0] and h.sample_index(50) == 1
     assert Header.from_json('{"scanspline":1,"nlines":1,"scanlen":2,"odd":3}').extra == {"odd": 3}
+
+
+def test_cube_batches(spark):
+    a, b = grid(spark), grid(spark, 2, 5)
+    ds = dataset.pool([a, b])
+    got = list(dataset.cube_batches(ds, shuffle=False))
+    assert [(x.shape, y.shape) for x, y in got] == [((1, 3, 4, 5), (1, 3, 4)), ((1, 2, 5, 5), (1, 2, 5))]
+    for (x, y), shape in zip(got, ds.cube_shapes):
+        n = shape[0] * shape[1]
+        assert (x[0, :, :, 0] == np.arange(n).reshape(shape)).all() and (x[0, :, :, 1] == 7).all()
+        assert (y[0] == (np.arange(n) % 3).reshape(shape)).all()
+    order = np.arange(2)
+    np.random.default_rng(4).shuffle(order)
+    assert [x.shape[1] for x, _ in dataset.cube_batches(ds, seed=4)] == [ds.cube_shapes[i][0] for i in order]
+    assert [len(t) for t in dataset.cube_batches(dataset.pool([a], unsupervised=True))] == [1]
+    with pytest.raises(RuntimeError):
+        next(dataset.cube_batches(ds, use_z=True))
