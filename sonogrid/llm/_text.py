@@ -8,6 +8,8 @@ single text longer than that forms a slice of its own (whole texts only).
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,34 +17,17 @@ SLICE_BYTES = 1 << 19
 #: rows of a text table that are sent to a Python worker at once
 BATCH_ROWS = 512
 
-_RNG = np.random.Generator(np.random.PCG64(20240607))
-#: one random 64-bit value a byte
-BYTE_KEY = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: ranges longer than this are hashed one by one
+LONG_RANGE = 256
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+#: keeps the lowest i bytes of a word
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_pow = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; kept between slices unless huge."""
-    if len(_pow["p"]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        p = np.full(size, _BASE, np.uint64)
-        i = np.full(size, _BASE_INV, np.uint64)
-        p[0] = i[0] = 1
-        p, i = np.cumprod(p), np.cumprod(i)
-        if size > 8 * SLICE_BYTES:
-            return p[:n], i[:n]
-        _pow["p"], _pow["i"] = p, i
-    return _pow["p"][:n], _pow["i"][:n]
-
-
 def small_batches(spark) -> None:
     """Keep the session's Arrow batches to BATCH_ROWS rows, as rows here are whole texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -108,15 +93,50 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True):
     return hashes(LOWER[raw] if lower else raw, starts, ends), np.searchsorted(starts, offsets)
 
 
-def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges, by one prefix sum of a polynomial hash."""
-    p, inv = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_KEY[raw] * p[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """Row i is raw[i : i + 8], zeros standing for what is past the end."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(8, np.uint8)]), 8)
+
 
+def _eight(rows: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each place as a word, without those past the ``left`` ones of its range."""
+    return rows[at].view("<u8").ravel() & _KEEP[np.minimum(left, 8)]
 
-_STEP = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges: eight bytes a step, the state mixed after each; BLAKE2 for long ranges."""
+    size = ends - starts
+    state = mix64(size.astype(np.uint64) * _SEED + _SEED)
+    rows = _eights(raw)
+    at = np.flatnonzero((size > 0) & (size <= LONG_RANGE))
+    done = 0
+    while len(at):
+        state[at] = mix64((state[at] ^ _eight(rows, starts[at] + done, size[at] - done)) * _SEED + _SEED)
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG_RANGE):
+        state[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return state
+
+
+def same_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every range holds the bytes of the range numbered by ``other``."""
+    size = ends - starts
+    if (size != size[other]).any():
+        return False
+    rows = _eights(raw)
+    at = np.flatnonzero((size > 0) & (size <= LONG_RANGE) & (other != np.arange(len(size))))
+    done = 0
+    while len(at):
+        left = size[at] - done
+        if (_eight(rows, starts[at] + done, left) != _eight(rows, starts[other[at]] + done, left)).any():
+            return False
+        done += 8
+        at = at[size[at] > done]
+    return all(np.array_equal(raw[starts[i] : ends[i]], raw[starts[o] : ends[o]]) for i in np.flatnonzero(size > LONG_RANGE) if (o := other[i]) != i)
+
+
+_STEP = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(word: np.ndarray, first: np.ndarray, k: int):

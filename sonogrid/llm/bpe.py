@@ -16,8 +16,9 @@ the driver and sent along (the vocabulary has a fixed size).
 
 Edge cases.  A null or empty text has no tokens.  Bytes that the vocabulary
 lacks cannot occur: it holds all 256 single bytes (checked).  Special tokens
-are ordinary text.  Rows are independent: ids may be null or repeated, and
-other columns are carried along unless their names are taken by results.
+are ordinary text.  Rows are independent: ids may be null or repeated.
+Other columns are not read.  Equal pieces of a slice are found by hash and compared
+by bytes.  A text longer than a slice is a slice of its own, encoded whole.
 """
 
 from __future__ import annotations
@@ -305,6 +306,8 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(raw))
         _, first, which = np.unique(_text.hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        if not _text.same_bytes(raw, starts, ends, first[which]):  # two pieces of one hash: each by itself
+            first = which = np.arange(len(starts))
         data = raw.tobytes()
         parts = self.pieces([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
