@@ -1,37 +1,53 @@
 """Order MinHash fingerprints, in SQL functions only.
 
-A text's k-mers are runs of K words.  Equal k-mers are numbered by occurrence
-and each numbered k-mer is hashed once.  Sketch j of SKETCHES ranks them by
-(hash - j * 2**35 / SKETCHES) modulo 2**35, which is as random a ranking as the
-hash itself, takes the TUPLE smallest, puts them back in text order and hashes
-the tuple.  Texts with the same k-mers in another order thus get other
-signatures, as edit distance demands.  As the rankings are rotations of one
-sorted list, a sketch costs one binary search and a text one sort.
+A text's k-mers are runs of K units.  A unit is a piece of the text of a few
+characters: it ends at a white-space character, at one of the letters a, e, o, at
+any character from U+0370 on (which so is a unit or the end of one), or after
+MAX_UNIT + 1 characters.  Units cover the whole text, and where they end depends on
+the text around alone; so k-mers behind an insertion are found again, also in texts
+without spaces and in scripts that need none.
+
+Equal k-mers are numbered by occurrence and each numbered k-mer is hashed once.
+Sketch j of SKETCHES ranks them by (hash - j * 2**35 / SKETCHES) modulo 2**35, which
+is as random a ranking as the hash itself, takes the TUPLE smallest, puts them back
+in text order and hashes the tuple.  Texts with the same k-mers in another order
+thus get other signatures, as edit distance demands.  As the rankings are rotations
+of one sorted list, a sketch costs one binary search and a text one sort.
 
 Each text is hashed, sorted and sketched inside its own row: no k-mer is ever
-shuffled.  The next document is found by dealing documents to ranges of ids of
-about RANGE_ROWS rows and looking one row ahead in each; only the first row of
-each range is shared between ranges.
-
-Edge cases.  A null text is empty; a text without words has the empty
-fingerprint.  A text of fewer than K words is one k-mer.  Two empty
-fingerprints are alike (1.0), an empty and another are not (0.0).  A single
-document is its own next one.  Null ids come after all others, in any order;
-repeated ids follow each other in the order of their texts.  Other columns are
-not read.  Positions are held in 28 bits: 268 million k-mers a text.
+shuffled.  The next document is found by dealing documents to ranges of about
+RANGE_ROWS rows and looking one row ahead in each.  Rows are ordered by id
+downwards, then by a hash of the text; ranges start at keys drawn from the rows
+themselves (about DRAWN a range, MAX_RANGES ranges at most; beyond, ranges grow), so
+that ids may lie anywhere and repeat.  The first row of the next range is the row of
+its starting key: only these texts, one a range, are looked up.
+
+Edge cases.  A null text is empty and has the empty fingerprint.  A text of fewer
+than K units is one k-mer.  Two empty fingerprints are alike (1.0), an empty and
+another are not (0.0).  A single document is its own next one.  Null ids come after
+all others; rows of one id follow each other by the hash of their texts, and rows
+that are repeated whole lie in one range.  Very long texts are hashed whole.  Other
+columns are not read, whatever their names.  Positions are held in 28 bits: 268
+million k-mers a text.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K = 2
+K = 3
+MAX_UNIT = 8
+_ENDS = r"\x09-\x0D\x20aeo\x{370}-\x{10FFFF}"
+UNIT = rf"[^{_ENDS}]{{1,{MAX_UNIT}}}+[{_ENDS}]?+|[{_ENDS}]"
 TUPLE = 2
 SKETCHES = 24
-RANGE_ROWS = 1024
+RANGE_ROWS = 512
+MAX_RANGES = 1 << 14
+DRAWN = 16
 _HASH_BITS, _POS_BITS = 35, 28
 
 
@@ -54,11 +70,21 @@ def _pack(h: Column, pos: Column) -> Column:
     return F.shiftleft(_high(h), _POS_BITS).bitwiseOR(pos.cast("bigint"))
 
 
+def place_of(s: Column, target: Column) -> Column:
+    """How many of the sorted values lie below the target: halving steps, largest first."""
+
+    def step(at: Column, b: Column) -> Column:
+        further = at + F.call_function("shiftleft", F.lit(1), b)
+        return F.when((further <= F.size(s)) & (F.get(s, further - 1) < target), further).otherwise(at)
+
+    return F.aggregate(F.sequence(F.ceil(F.log2(F.size(s) + 1)).cast("int"), F.lit(0), F.lit(-1)), F.lit(0), step)
+
+
 def fingerprint(text: Column, sketches: int = SKETCHES) -> Column:
-    """Signature of 8 hex digits a sketch, empty for a text without words."""
+    """Signature of 8 hex digits a sketch, empty for an empty text."""
     low = (1 << _POS_BITS) - 1
 
-    def of_words(w: Column) -> Column:
+    def of_units(w: Column) -> Column:
         n = F.size(w)
         mers = F.when(
             n >= K, F.transform(_upto(n - (K - 1)), lambda i: _pack(F.xxhash64(*[F.get(w, i + j) for j in range(K)]), i))
@@ -74,15 +100,6 @@ def fingerprint(text: Column, sketches: int = SKETCHES) -> Column:
 
         return _let(F.sort_array(F.transform(s, numbered)), of_numbered)
 
-    def place_of(s: Column, target: Column) -> Column:
-        """How many of the sorted values lie below the target: halving steps, largest first."""
-
-        def step(at: Column, b: Column) -> Column:
-            further = at + F.call_function("shiftleft", F.lit(1), b)
-            return F.when((further <= F.size(s)) & (F.get(s, further - 1) < target), further).otherwise(at)
-
-        return F.aggregate(F.sequence(F.ceil(F.log2(F.size(s) + 1)).cast("int"), F.lit(0), F.lit(-1)), F.lit(0), step)
-
     def of_numbered(s: Column) -> Column:
         n = F.size(s)
 
@@ -101,8 +118,8 @@ def fingerprint(text: Column, sketches: int = SKETCHES) -> Column:
 
         return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)).cast("array<bigint>"), tuple_hash), "")
 
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    return _let(words, lambda w: F.when(F.size(w) == 0, F.lit("")).otherwise(of_words(w)))
+    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
+    return _let(units, lambda w: F.when(F.size(w) == 0, F.lit("")).otherwise(of_units(w)))
 
 
 def likeness(a: Column, b: Column, sketches: int = SKETCHES) -> Column:
@@ -116,39 +133,54 @@ def likeness(a: Column, b: Column, sketches: int = SKETCHES) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(same / F.lit(float(sketches)))
 
 
-def _following(ranges: DataFrame) -> DataFrame:
-    """(range, next_range) of the ranges that have rows; the last is followed by the first.
-
-    Neighbours are found within groups of RANGE_ROWS ranges, and between the
-    groups, of which there is one to a million documents, in one small window.
-    """
-    grouped = ranges.withColumn("super", F.expr(f"range div {RANGE_ROWS}"))
-    within = grouped.withColumn("inner", F.lead("range").over(Window.partitionBy("super").orderBy("range")))
-    supers = grouped.groupBy("super").agg(F.min("range").alias("least"))
-    ahead = Window.orderBy("super")
-    first = F.first("least").over(ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    supers = supers.select("super", F.coalesce(F.lead("least").over(ahead), first).alias("outer"))
-    return within.join(supers, "super").select("range", F.coalesce("inner", "outer").alias("next_range"))
+_KEY = ["no_id", "down", "mark"]
+
+
+def _starts(keyed: DataFrame) -> list[tuple[bool, int, int]]:
+    """Sorted keys at which the ranges start; the first is the least of all.  At most MAX_RANGES, from a sample of bounded size."""
+    seen = keyed.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_KEY)).alias("least")).first()
+    if not seen.n:
+        return []
+    ranges = min(MAX_RANGES, max(1, seen.n // RANGE_ROWS))
+    if ranges == 1:
+        return [tuple(seen.least)]
+    share = min(1.0, ranges * DRAWN / seen.n)
+    drawn = keyed.where(F.pmod(F.xxhash64("down", "mark", F.lit(5)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    counts = drawn.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).limit(4 * MAX_RANGES * DRAWN).collect()
+    counts = sorted((tuple(r[:3]), r.n) for r in counts)
+    step = max(1, sum(n for _, n in counts) // ranges)
+    starts, passed = [tuple(seen.least)], 0
+    for key, n in counts:
+        if passed >= step and key > starts[-1]:
+            starts.append(key)
+            passed = 0
+        passed += n
+    return starts
+
+
+def _range_of(starts: list[tuple[bool, int, int]]) -> Column:
+    """Number of the last range whose start is not above the row's key."""
+    fields = "array<struct<no_id boolean, down bigint, mark bigint>>"
+    table = F.from_json(F.lit(json.dumps([dict(zip(_KEY, k)) for k in starts])), fields)
+    # keys below or equal to the row's are those below its successor's place: equal ones are added
+    own = F.struct(*[F.col(c) for c in _KEY])
+    below = place_of(table, own)
+    return _let(below, lambda n: n - F.when(F.get(table, n) == own, F.lit(0)).otherwise(F.lit(1)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, fingerprint, next_text, next_fingerprint; next by descending id, after the last the first."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    seen = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, hi = seen.lo or 0, seen.hi or 0
-    width = max(1, (hi - lo + 1) * RANGE_ROWS // max(1, seen.n))
-    at = F.when(F.col("doc_id").isNull(), F.lit((hi - lo) // width + 1)).otherwise(F.expr(f"({hi}L - doc_id) div {width}L"))
-    dealt = docs.withColumn("range", at.cast("bigint"))
-    place = F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), "text")
-    heads = dealt.groupBy("range").agg(F.min_by("text", place).alias("head"))
-    after = (
-        _following(dealt.select("range").distinct())
-        .join(heads.select(F.col("range").alias("next_range"), "head"), "next_range")
-        .select("range", F.struct(F.col("head").alias("text"), fingerprint(F.col("head")).alias("fingerprint")).alias("after"))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = docs.withColumns(
+        {"no_id": F.col("doc_id").isNull(), "down": F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("bigint"))), "mark": F.xxhash64("text")}
     )
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
+    starts = _starts(keyed.select(*_KEY))
+    heads = docs.sparkSession.createDataFrame([(*k, (r - 1) % len(starts)) for r, k in enumerate(starts)], "no_id boolean, down long, mark long, range int")
+    found = keyed.join(F.broadcast(heads), _KEY).groupBy("range").agg(F.min("text").alias("text"))  # at most MAX_RANGES keys
+    after = found.select("range", F.struct("text", fingerprint(F.col("text")).alias("fingerprint")).alias("after"))
+    dealt = keyed.withColumn("range", _range_of(starts))
     inside = dealt.withColumn("fingerprint", fingerprint(F.col("text"))).withColumn(
-        "ahead", F.lead(F.struct("text", "fingerprint")).over(Window.partitionBy("range").orderBy(*order))
+        "ahead", F.lead(F.struct("text", "fingerprint")).over(Window.partitionBy("range").orderBy(*_KEY, "text"))
     )
     after_it = F.coalesce(F.col("ahead"), F.col("after"))
     return inside.join(after, "range", "left").select(
