@@ -11,11 +11,15 @@ def remainder(id_col: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def about(n_rows: int, wanted: int, id_col: str) -> Column:
-    """True for about ``wanted`` of ``n_rows`` rows, chosen by a hash of the id."""
+def drawn(n_rows: int, wanted: int, *cols: str) -> Column:
+    """True for about ``wanted`` of ``n_rows`` rows, chosen by a hash of the columns; for all if there are no more.
+
+    Rows alike in all the columns are chosen together: those who collect the
+    rows merge them first, so a row that is repeated without bound counts once.
+    """
     if n_rows <= wanted:
         return F.lit(True)
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30)) < F.lit(int(wanted / n_rows * (1 << 30)))
+    return F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(17)), F.lit(1 << 30)) < F.lit(int(wanted / n_rows * (1 << 30)))
 
 
 class Adam:

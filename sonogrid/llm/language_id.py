@@ -8,24 +8,28 @@ where the runner-up is within AMBIGUOUS of it.
 
 Up to six languages get the exhaustive code of 2**(L-1) - 1 bits, more get
 seeded random codewords of 12 * log2(L) bits.  The classifiers are fitted on
-about MAX_TRAIN texts (a documented bound), an equal share from each language,
-chosen by a hash of the id; everything else reads all rows, whole texts.
+MAX_TRAIN texts at most (a documented bound), an equal share from each language,
+the first by a hash of id and text; everything else reads all rows, whole texts.
 
 Edge cases.  A null text, an empty one or one without a letter is ``und`` with
 score 0.  Without any labelled text all are ``und``.  Null languages are not
-learned from.  Repeated rows and null ids are scored like others; ties between
-languages go to the first by name.  Extra columns are not read.
+learned from.  More than MAX_LANGUAGES languages are an error.  Repeated rows and null
+ids are scored like others, and rows alike in id and text are learned from once;
+ties between languages go to the first by name.  Texts longer than FEATURE_BYTES are
+scored whole, one at a time.  Extra columns are not read; carried ones may have any
+name but doc_id, text and those of the results.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonogrid.llm import _text
-from sonogrid.llm._learn import Adam, about
+from sonogrid.llm._learn import Adam, drawn
 
 BUCKETS = 4096
 DIM = BUCKETS + 256
@@ -108,7 +112,7 @@ def _featured(batches):
         rows = []
         for a, b in _text.slices(offsets, FEATURE_BYTES):
             rows += [r.astype(np.float16).tobytes() for r in features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(rows, pa.binary())], ["lang", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("mark"), pa.array(rows, pa.binary())], ["lang", "mark", "x"])
 
 
 def train(docs: DataFrame, usable) -> tuple[list[str], dict] | None:
@@ -122,8 +126,14 @@ def train(docs: DataFrame, usable) -> tuple[list[str], dict] | None:
     share = MAX_TRAIN // len(counts)
     chosen = F.lit(False)
     for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & about(n, share, "doc_id"))
-    got = rows.where(chosen).select("lang", "text").mapInArrow(_featured, "lang string, x binary").collect()
+        # half as many again and a few, so that a rare language is not missed; the first ``share`` are used
+        chosen = chosen | ((F.col("lang") == lang) & drawn(n, share + share // 2 + 30, "doc_id", "text"))
+    marked = rows.where(chosen).select("lang", F.xxhash64("doc_id", "text").alias("mark"), "text")
+    merged = marked.mapInArrow(_featured, "lang string, mark long, x binary").groupBy("lang", "mark").agg(F.min("x").alias("x"))
+    ranked = merged.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).where(F.col("nth") <= share)
+    got = ranked.select("lang", "x").collect()  # at most MAX_TRAIN rows
+    if not got:
+        return None
     got.sort(key=lambda r: (r.lang, bytes(r.x)))
     langs = sorted({r.lang for r in got})
     x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32)
@@ -166,5 +176,6 @@ def identify_languages(docs: DataFrame, usable=None, carry=(), id_col: str = "do
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     shared = spark.sparkContext.broadcast(train(known, usable))
     given = docs.select(F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in carry], F.col(text_col).alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "text"]
-    return given.mapInArrow(_scorer(shared), ", ".join([*fields, "lang_pred string, score double, ambiguous boolean"]))
+    own = [f for f in given.schema if f.name != "text"]
+    found = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    return given.mapInArrow(_scorer(shared), T.StructType([*own, *found]))

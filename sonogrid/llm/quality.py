@@ -9,15 +9,17 @@ the mean of its tokens' vectors with the logarithm of their number.  A
 two-layer numpy network scores it; a temperature fitted on a part of the
 training rows calibrates the probability.
 
-The network is fitted on about MAX_TRAIN labelled rows chosen by a hash of the
-id (a documented bound).  The table of vectors has a fixed size; it is summed
+The network is fitted on MAX_TRAIN labelled texts at most, the first by a hash of id,
+label and text (a documented bound).  The table of vectors has a fixed size; it is summed
 over all tasks from partial tables.
 
 Edge cases.  A null text is empty; a text without tokens has the zero vector
 and gets the network's score of it.  Labels that are null or neither 0 nor 1
-are not used; several labels of one id count as several rows.  Without labels
-of both kinds every score is the share of label 1 (0.5 without any).  Null and
-repeated ids are scored like others.  Extra columns are not read.
+are not used; several labels of one id count as several rows, but rows alike in id,
+label and text once.  With fewer than LEAST_TRAIN labelled texts, or without labels of
+both kinds, every score is the share of label 1 (0.5 without any).  Null and repeated
+ids are scored like others.  Very long texts are pooled whole, one at a time.  Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonogrid.llm import _sketch, _text
-from sonogrid.llm._learn import Adam, about
+from sonogrid.llm._learn import Adam, drawn
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 15
 DIM = 32
 WINDOW = 2
 MAX_TRAIN = 12000
 HIDDEN = 32
+LEAST_TRAIN = 10
 
 _KIND = np.full(256, 4, np.uint8)
 _KIND[_text.IS_SPACE] = 0
@@ -61,15 +64,17 @@ def _contexts(batches):
         for a, b in _text.slices(offsets):
             at, first = tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             text = np.repeat(np.arange(b - a), np.diff(first))
+            cells, signs = [], []
             for gap in range(1, WINDOW + 1):
                 if len(at) <= gap:
                     continue
                 same = text[gap:] == text[:-gap]
                 x, y = at[gap:][same], at[:-gap][same]
-                # pairs repeat a lot: count each (x, y) cell of signs at once
                 for u, v in ((x, y), (y, x)):
-                    for e in (0, 1):
-                        total += np.bincount(u * DIM + INDEX_AT[v, e], INDEX_SIGN[v, e], BUCKETS * DIM).astype(np.int64)
+                    cells.append((u[:, None] * DIM + INDEX_AT[v]).ravel())
+                    signs.append(INDEX_SIGN[v].ravel())
+            if cells:
+                total += np.bincount(np.concatenate(cells), np.concatenate(signs), BUCKETS * DIM).astype(np.int64)
     yield from _sketch.chunks(total)
 
 
@@ -106,7 +111,7 @@ def pooled(vectors: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 def fit(x: np.ndarray, y: np.ndarray, epochs: int = 400) -> dict:
     """Network and temperature; a fifth of the rows is kept for the temperature."""
-    if len(y) < 10 or y.min() == y.max():
+    if len(y) < LEAST_TRAIN or y.min() == y.max():
         return {"share": float(y.mean()) if len(y) else 0.5}
     rng = np.random.Generator(np.random.PCG64(3))
     order = rng.permutation(len(y))
@@ -146,7 +151,7 @@ def _pool_rows(shared):
         for batch in batches:
             raw, offsets = _text.utf8(batch.column("text"))
             rows = [r.tobytes() for a, b in _text.slices(offsets) for r in pooled(shared.value, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.binary())], ["quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("mark"), pa.array(rows, pa.binary())], ["quality", "mark", "x"])
 
     return run
 
@@ -174,9 +179,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "d
     vectors = word_vectors(docs)
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     usable = usable.where("quality in (0, 1) and doc_id is not null").withColumn("held_out", held_out).where("not held_out").drop("held_out")
-    chosen = usable.where(about(usable.count(), MAX_TRAIN, "doc_id"))  # about MAX_TRAIN rows: a proven bound
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("quality", "text")
-    got = sample.mapInArrow(_pool_rows(spark.sparkContext.broadcast(vectors)), "quality int, x binary").collect()
+    usable = usable.distinct()
+    chosen = usable.where(drawn(usable.count(), MAX_TRAIN, "doc_id"))  # about MAX_TRAIN ids, two labels each at most
+    labelled = docs.join(F.broadcast(chosen), "doc_id").select("quality", F.xxhash64("doc_id", "quality", "text").alias("mark"), "text")
+    # ids may repeat: the rows are drawn again, and equal ones merged
+    sample = labelled.where(drawn(labelled.count(), MAX_TRAIN, "mark")).mapInArrow(_pool_rows(spark.sparkContext.broadcast(vectors)), "quality int, mark long, x binary")
+    got = sample.groupBy("quality", "mark").agg(F.min("x").alias("x")).orderBy("mark").limit(MAX_TRAIN).select("quality", "x").collect()
     got.sort(key=lambda r: (bytes(r.x), r.quality))
     x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float64).reshape(len(got), vectors.shape[1] + 1)
     model = fit(x, np.array([r.quality for r in got], np.float64))
