@@ -110,28 +110,31 @@ def _rule(host: Column, path: Column, rules) -> Column:
 def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, model=None, threshold: float = 0.5) -> DataFrame:
     """``pages`` with host, path, rule, verdict (allow or block) and block_score added.
 
-    Existing columns of those names are replaced.
+    Existing columns of those names are replaced; all others stay, whatever their names.
     """
     weights, bias = model or train()
     host, path = _host_path(F.col(url_col))
     out = pages.withColumns({"host": host, "path": path})
     out = out.withColumn("rule", _rule(F.col("host"), F.col("path"), rules))
+    k = "url_key"
+    while k in out.columns:
+        k = f"_{k}"
     key = F.when((F.col("host") == "") & (F.col("path") == ""), F.lit("")).otherwise(F.concat(F.lit("^"), "host", "path", F.lit("$")))
     table = F.expr("array(" + ",".join(f"{x!r}D" for x in weights) + ")")
-    n = F.length("url_key")
+    n = F.length(k)
     sums = F.aggregate(
         F.when(n >= 4, F.sequence(F.lit(1), n - 3)).otherwise(F.array().cast("array<int>")),
         F.lit(0.0),
         lambda acc, i: acc
-        + F.get(table, F.conv(F.substr(F.md5(F.substring(F.col("url_key"), i, F.lit(4)).cast("binary")), F.lit(1), F.lit(3)), 16, 10).cast("int")),
+        + F.get(table, F.conv(F.substr(F.md5(F.substring(F.col(k), i, F.lit(4)).cast("binary")), F.lit(1), F.lit(3)), 16, 10).cast("int")),
     )
     z = F.lit(bias) + sums / F.sqrt(F.greatest(F.lit(1.0), (n - 3).cast("double")))
     verdict = F.lit(None).cast("string")
     for rule, says in rules:
         verdict = F.when(F.col("rule") == rule, F.lit(says)).otherwise(verdict)
-    out = out.withColumn("url_key", key).withColumn("block_score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+    out = out.withColumn(k, key).withColumn("block_score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
     learnt = F.when(F.col("block_score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("verdict", F.coalesce(verdict, learnt)).drop("url_key")
+    return out.withColumn("verdict", F.coalesce(verdict, learnt)).drop(k)
 
 
 def oracle() -> str:

@@ -4,7 +4,7 @@ Three steps, joined by small tables of records (never by payloads):
 
 write      Each task writes its rows as WARC records into gzip files of one
            member each (a monolithic file: nothing in it can be read without
-           inflating all before), of up to FILE_BYTES of payload.
+           inflating all before), closed once it holds FILE_BYTES of records.
 normalise  One task a file inflates the whole stream once, and writes every
            record as a gzip member of its own with a sidecar index of offsets
            and lengths.  Records that repeat an earlier payload become revisit
@@ -22,7 +22,9 @@ Edge cases.  A null payload is empty.  A null URL has no target header.  Of
 equal payloads of at least ``least`` bytes the least id is the response (null
 ids last; then file and place decide); smaller ones are all responses.  An id
 may repeat: each row is a record.  A payload may hold anything, also what looks
-like records: lengths rule.  An empty table gives no files and no rows.
+like records: lengths rule.  A payload longer than FILE_BYTES is one record whole,
+held in memory by one task.  Extra columns are not read.  An empty table gives no
+files and no rows.
 """
 
 from __future__ import annotations
@@ -162,9 +164,10 @@ def _write(folder: str):
                     out, packer = _open_out(uri), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 payload = (html.as_py() or "").encode()
                 headers = response_headers(page_id, url, payload)
-                out.write(packer.compress(build_record(headers, payload)))
+                record = build_record(headers, payload)
+                out.write(packer.compress(record))
                 rows.append((uri, place, page_id, len(payload), digest(payload)))
-                place, held = place + 1, held + len(payload)
+                place, held = place + 1, held + len(record)
                 if held >= FILE_BYTES:
                     out.write(packer.flush())
                     out.close()
