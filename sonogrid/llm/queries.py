@@ -42,8 +42,7 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = ["doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", "cell_weight", "keep_probability", *[f"{axis}_shortfall" for axis in mixing.AXES], "mix_kept"]
-    return mixing.mix(_table(spark, sf_dir, "documents")).select(*cols)
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", *mixing.RESULTS)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
