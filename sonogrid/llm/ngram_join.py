@@ -8,33 +8,51 @@ link when ``den * |A & B| >= num * |A | B|``.
 2.  A second pass takes from each set its tokens whose hash lies in the lowest
     LISTED * (1 - t) of all hashes, and further ones by hash where these do not
     fill the longest prefix.  The frequencies of the listed tokens are counted
-    exactly.  The global order is: listed tokens by (frequency, hash), then the
-    others by hash; so prefixes fill with listed tokens that occur once, which
-    need no posting.  With matches required l = 1 a prefix has n - T + 1 tokens,
-    T being the least overlap with any partner; each further required match
-    lengthens it by one token.  Each text takes the l of 1..MAX_MATCHES with
-    the least estimated cost: the frequencies summed over the prefix (postings
-    to read) plus VERIFY times that sum / l (a bound on the candidates that
-    reach l matches).  A pair uses the smaller l of the two.
-3.  Tokens with one posting left are dropped.  The rest get a 256-bit parity bitmap
+    exactly, but for those that a sample of the texts finds in more than one text of
+    HOT_SHARE: these get the sample's estimate, so that no task gathers their
+    postings (any number will do that is the same for all texts).  The global order
+    is: listed tokens by (frequency, hash), then the others by hash; so prefixes
+    fill with listed tokens that occur once, which need no posting.  With matches
+    required l = 1 a prefix has n - T + 1 tokens, T being the least overlap with any
+    partner; each further required match lengthens it by one token.  Each text takes
+    the l of 1..MAX_MATCHES with the least estimated cost: the frequencies summed
+    over the prefix (postings to read) plus VERIFY times that sum / l (a bound on
+    the candidates that reach l matches).  A pair uses the smaller l of the two.
+3.  Tokens with one posting left are dropped.  The rest get a 512-bit parity bitmap
     of their set, which bounds the difference of two sets from below.
-4.  Star round: in each token's list every text meets only the list's first
-    one.  Links found are merged into classes, so that a group of thousands of
-    near copies costs one pair a member and token, not all pairs.
-5.  Full round: pairs in a list that still lie in different classes, pass the
-    size and bitmap bounds and share l prefix tokens are verified by the exact
-    sets.  Every pair that may link is either verified or already in one class,
-    so the classes are those of all links.
+4.  Star rounds, over lists of LONG or more: every text of a list meets one text of it,
+    in the first round the list's most central one, that with the least share of
+    tokens no other text has, then the most central one of a random part of about PART
+    texts, drawn anew for each round and list.  Links found are merged into classes, so
+    that a group of thousands of near copies costs about one pair a posting and round,
+    not all pairs.  Rounds go on while the lists hold more than DIRECT pairs of different
+    classes a posting and (from the second on) each round lowers that by a tenth.
+5.  Full round: pairs in a list that still lie in different classes meet.  A pair
+    must pass the size and bitmap bounds, the positional bound (what lies before
+    and behind the token in both orders must suffice for the overlap the two sizes
+    ask for) and share l tokens of prefixes as short as the two sizes allow.  Each
+    text carries its first EARLY posted tokens, by which a pair is made once, at
+    its l-th shared token, not once a shared token; where the l-th lies further
+    back it is counted.  Pairs whose parity maps of two bits a token (any size of
+    set) leave a link possible are verified by the exact sets.  Every pair that may
+    link is either verified or already in one class, so the classes are those of
+    all links.
+
+The full round's candidates are near misses: pairs of different classes whose
+similarity is below the threshold, but not by much.  A group whose members are all
+near misses of each other has as many as its pairs; they are one row a pair, made
+by many tasks.
 
 Lists longer than BLOCK meet block by block, each pair of blocks in a task.
 Sets of candidates alone are hashed again for verification; their ids are
 broadcast while there are at most MAX_BROADCAST_IDS, else the texts are joined.
 
 Edge cases.  A text of fewer than k words is one shingle, the whole sequence; a
-null text or one without words has an empty set and links with nothing.  Rows
-repeated with their id give repeated rows of one class; an id is taken to name
-one text.  A row without id gets the component of an equal set if there is one,
-else null.  Extra columns are not read.  An empty table gives an empty result.
+null text or one without words has an empty set and links with nothing.  Very long
+texts are hashed whole, one at a time.  Rows repeated with their id give repeated
+rows of one class; an id is taken to name one text.  A row without id gets the
+component of an equal set if there is one, else null.  Extra columns are not read,
+whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,6 +73,18 @@ MAX_MATCHES = 4
 VERIFY = 8.0
 BLOCK = 2048
 MAX_BROADCAST_IDS = 1_000_000
+#: first posted tokens that a text carries into the full round
+EARLY = 16
+#: pairs a posting that are left to the full round at once
+DIRECT = 4
+MAX_STARS = 8
+LONG = 32
+PART = 64
+#: texts of which one is sampled for hot tokens; share and least number of sampled texts that make a token hot
+SAMPLE = 16
+HOT_SHARE = 1000
+HOT_LEAST = 64
+MAP_WORDS = 8
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -126,19 +156,48 @@ def _listed(k: int, num: int, den: int):
     return run
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
-    """256-bit parity bitmap as 4 longs: its difference from another's never exceeds the sets' difference."""
-    at = np.bincount((_text.mix64(s) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+def _parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bitmap as longs: its difference from another's never exceeds the sets' difference."""
+    at = np.bincount((_text.mix64(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(at.astype(np.uint8)).view(np.int64)
 
 
 def _bitmaps(k: int):
+    """mapInArrow: a bitmap of MAP_WORDS longs, and one of two to four bits a token."""
+
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            rows = [(ids[row], *map(int, _parity(s))) for row, s in _sets(batch, k)]
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "b0", "b1", "b2", "b3"])
+            rows = []
+            for row, s in _sets(batch, k):
+                wide = _parity(s, max(64, 2 << len(s).bit_length()))
+                rows.append((ids[row], len(s), wide.tobytes(), *map(int, _parity(s, 64 * MAP_WORDS))))
+            cols = list(zip(*rows)) or [[]] * (3 + MAP_WORDS)
+            kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * MAP_WORDS]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n", "wide", *[f"b{i}" for i in range(MAP_WORDS)]])
+
+    return run
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the difference of two sets from their maps; the larger map is folded to the smaller's size."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    # packed bits count from the top of each byte, and map sizes are powers of two: halves fold onto each other
+    a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _near(num: int, den: int):
+    """mapInArrow: the pairs whose maps leave a link possible."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = batch.column("nx").to_numpy() + batch.column("ny").to_numpy()
+            differ = np.array([least_difference(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"))], np.int64)
+            mask = pa.array((den + num) * differ <= (den - num) * sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     return run
 
@@ -177,36 +236,37 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The linking ones of the pairs (a, b), by exact sets."""
+def _verified(docs: DataFrame, maps: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The linking ones of the pairs (a, b): by their maps, then by exact sets."""
     pairs = written(pairs)
+    sides = [maps.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{t}"), F.col("wide").alias(t)) for s, t in ("ax", "by")]
+    near = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "nx", "ny", "x", "y")
+    pairs = written(near.mapInArrow(_near(num, den), "a long, b long"))
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    sets = written(_chosen(docs, ids).mapInArrow(_whole_sets(k), "doc_id long, tokens binary"))
+    sets = written(_chosen(docs, ids).mapInArrow(_whole_sets(k), "doc_id long, tokens binary").dropDuplicates(["doc_id"]))
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b"
     )
     return written(joined.select("a", "b", "x", "y").mapInArrow(_links(num, den), "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (least id with an equal set), component_id.
+def _hot(tokens: DataFrame, n_texts: int) -> DataFrame:
+    """(token, about): tokens of a large share of the texts with estimated frequencies, HOT_SHARE times a text's tokens at most."""
+    part = tokens.where(F.expr(f"pmod(xxhash64(doc_id, 23L), {SAMPLE}) = 0")).select(F.explode("tokens").alias("token"))
+    least = max(HOT_LEAST, n_texts // (SAMPLE * HOT_SHARE))
+    return written(part.groupBy("token").agg((F.count(F.lit(1)) * SAMPLE).alias("about")).where(F.col("about") >= least * SAMPLE))
 
-    ``num / den`` is the least Jaccard similarity of a link.
-    """
-    _text.small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(docs.mapInArrow(_summaries(k), "doc_id long, n long, k1 long, k2 long"))
 
-    full = rows.where("n > 0 and doc_id is not null")
-    classes = written(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id")))
-    copies = written(full.join(classes, ["k1", "k2", "n"]).where("doc_id <> class_id").select("doc_id").distinct())
+def _prefixes(tokens: DataFrame, hot: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, doc_id, n, l, place, rank, alone): the postings of the chosen prefixes in lists of two or more.
 
-    tokens = docs.where("doc_id is not null").mapInArrow(_listed(k, num, den), "doc_id long, n int, listed int, tokens array<bigint>")
-    few = copies.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    tokens = tokens.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
+    ``alone`` is the share of a text's tokens of which it is known that no other text has them.
+    """
     # at: the token's place by hash; for tokens that are not listed that is its place in the global order
-    postings = tokens.select("doc_id", "n", "listed", F.posexplode("tokens").alias("at", "token"))
-    counted = postings.withColumn("freq", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("freq > 1")
+    postings = tokens.select("doc_id", "n", "listed", F.posexplode("tokens").alias("at", "token")).join(F.broadcast(hot), "token", "left")
+    part = F.when(F.col("about").isNull(), F.lit(0)).otherwise(F.expr("pmod(xxhash64(doc_id), 4096)"))
+    counted = postings.withColumn("part", part)
+    counted = counted.withColumn("freq", F.coalesce("about", F.count(F.lit(1)).over(Window.partitionBy("token", "part")))).where("freq > 1")
     counted = counted.withColumns({"is_listed": F.expr("at < listed"), "free": F.expr(f"n - cast(ceil(n * {num}D / {den}) as int)")})  # free: n - T
     own = Window.partitionBy("doc_id")
     # listed tokens that occur once come first and have no posting
@@ -214,51 +274,104 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     placed = counted.withColumns({"rank": rank, "shared": F.sum(F.col("is_listed").cast("int")).over(own)})
     placed = placed.withColumn("place", F.expr("if(is_listed, listed - shared + rank, at + 1)")).where(f"place <= free + {MAX_MATCHES}")
     placed = placed.withColumns({f"f{m}": F.sum(F.expr(f"if(place <= free + {m}, freq, 0)")).over(own) for m in range(1, MAX_MATCHES + 1)})
-    # level: the least number of required matches whose prefix holds the token
-    chosen = placed.withColumns({"l": F.expr(f"least({matches_by_cost()}, n - free)"), "level": F.expr("greatest(1, place - free)")}).where("level <= l")
-    lists = written(chosen.select("token", "doc_id", "n", "l", "level").dropDuplicates(["token", "doc_id"]))
+    # a token is in the prefix for l if its place is among the first n - T + l
+    chosen = placed.withColumn("l", F.expr(f"least({matches_by_cost()}, n - free)")).where("place <= free + l")
+    chosen = chosen.withColumn("alone", F.expr("cast((listed - shared) / n as float)"))
+    lists = written(chosen.select("token", "doc_id", "n", "l", "place", "rank", "alone").dropDuplicates(["token", "doc_id"]))
     # counted before the shuffle, so a long list never meets in one task
     met_again = lists.groupBy("token").agg(F.count(F.lit(1)).alias("len")).where("len > 1").select("token")
-    lists = written(lists.join(met_again, "token", "left_semi").select(*lists.columns))
-    maps = written(_chosen(docs, lists.select("doc_id").distinct()).mapInArrow(_bitmaps(k), "doc_id long, b0 long, b1 long, b2 long, b3 long"))
-    maps = maps.dropDuplicates(["doc_id"])
-
-    # star round: the list's first text against the others
-    hub = lists.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("hub"))
-    within = f"{den}L * least(x.n, y.n) >= {num}L * greatest(x.n, y.n)"
-    star = lists.join(hub, "token").where("doc_id <> hub.doc_id").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
-    star = star.where(f"{den}L * least(na, nb) >= {num}L * greatest(na, nb)").select("a", "b", "na", "nb")
-    sides = [maps.select(F.col("doc_id").alias(s), *[F.col(f"b{i}").alias(f"{s}{i}") for i in range(4)]) for s in "ab"]
-    differ = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(4))
+    return written(lists.join(met_again, "token", "left_semi").select(*lists.columns))
+
+
+def _star_pairs(marked: DataFrame, mixed: DataFrame, maps: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Distinct (a, b): the texts of each long list, or of each part of it, against its most central one if of another class, by the size and bitmap bounds."""
+    parts = mixed.where(f"len >= {LONG}").select("token", F.expr(f"cast(ceil(len / {PART}) as int)" if turn else "1").alias("parts"))
+    dealt = marked.join(parts, "token").withColumn("part", F.expr(f"pmod(xxhash64(doc_id, token, {turn}), parts)"))
+    central = F.min(F.struct("alone", F.xxhash64("doc_id", F.lit(turn)).alias("draw"), "doc_id", "n", "c"))
+    met = dealt.join(dealt.groupBy("token", "part").agg(central.alias("hub")), ["token", "part"]).where("c <> hub.c")
+    met = met.where(f"{den}L * least(n, hub.n) >= {num}L * greatest(n, hub.n)")
+    met = met.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b"), (F.col("n") + F.col("hub.n")).alias("sizes")).distinct()
+    sides = [maps.select(F.col("doc_id").alias(s), *[F.col(f"b{i}").alias(f"{s}{i}") for i in range(MAP_WORDS)]) for s in "ab"]
+    differ = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(MAP_WORDS))
     # J >= num/den: the difference is at most (den - num) / (den + num) of the sizes' sum
-    near = f"({differ}) * {den + num}L <= {den - num}L * (na + nb)"
-    first = _verified(docs, star.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b"), k, num, den)
-    merged = written(components(first))
-
-    # full round: lists that still hold several classes
-    marked = lists.join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    marked = written(marked)
-    mixed = marked.groupBy("token").agg(F.count(F.lit(1)).alias("len"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token", F.expr(f"cast(ceil(len / {BLOCK}) as int)").alias("blocks"))
-    spread = marked.join(mixed, "token").join(maps, "doc_id").withColumn("mine", F.expr("pmod(xxhash64(doc_id), blocks)").cast("int"))
+    return met.join(sides[0], "a").join(sides[1], "b").where(f"({differ}) * {den + num}L <= {den - num}L * sizes").select("a", "b")
+
+
+def _full_pairs(marked: DataFrame, mixed: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (a, b) of different classes that share as many prefix tokens as their l asks for, by all bounds."""
+    own = Window.partitionBy("doc_id").orderBy("place")
+    posted = marked.join(mixed.select("token", F.expr(f"cast(ceil(len / {BLOCK}) as int)").alias("blocks")), "token").withColumn("nth", F.row_number().over(own))
+    early = posted.where(F.col("nth") <= EARLY).groupBy("doc_id").agg(F.expr("transform(array_sort(collect_list(struct(nth, token))), x -> x.token)").alias("early"))
+    small = maps.select("doc_id", *[f"b{i}" for i in range(MAP_WORDS)])
+    spread = posted.join(early, "doc_id").join(small, "doc_id").withColumn("mine", F.expr("pmod(xxhash64(doc_id), blocks)").cast("int"))
+    spread = spread.withColumn("early", F.expr("slice(early, 1, nth - 1)"))
     blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
-    spread = spread.withColumn("met", F.explode(blocks)).select("*", "met.i", "met.j").drop("met")
-    differ = " + ".join(f"bit_count(x.b{i} ^ y.b{i})" for i in range(4))
-    pairs = (
-        spread.alias("x")
-        .join(
-            spread.alias("y"),
-            F.expr(
-                f"x.token = y.token and x.i = y.i and x.j = y.j and x.doc_id < y.doc_id and x.c <> y.c and (x.i = x.j or x.mine <> y.mine) and {within}"
-                f" and ({differ}) * {den + num}L <= {den - num}L * (x.n + y.n) and greatest(x.level, y.level) <= least(x.l, y.l)"
-            ),
-        )
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.expr("least(x.l, y.l)").alias("l"))
+    spread = spread.withColumn("met", F.explode(blocks)).select("*", "met.i", "met.j").drop("met", "blocks")
+    overlap = f"cast(ceil((x.n + y.n) * {num}D / {num + den}) as int)"  # the least of a link
+    differ = " + ".join(f"bit_count(x.b{i} ^ y.b{i})" for i in range(MAP_WORDS))
+    known = "size(array_intersect(x.early, y.early))"
+    whole = f"x.nth <= {EARLY} and y.nth <= {EARLY}"  # all that comes before is known
+    on = " and ".join(
+        [
+            "x.token = y.token and x.i = y.i and x.j = y.j and x.doc_id < y.doc_id and x.c <> y.c and (x.i = x.j or x.mine <> y.mine)",
+            f"{den}L * least(x.n, y.n) >= {num}L * greatest(x.n, y.n)",
+            f"greatest(x.place - x.n, y.place - y.n) + {overlap} <= least(x.l, y.l)",
+            f"least(x.rank, y.rank) + least(x.n - x.place, y.n - y.place) >= {overlap}",
+            f"({differ}) * {den + num}L <= {den - num}L * (x.n + y.n)",
+            f"if({whole}, {known} = least(x.l, y.l) - 1, {known} < least(x.l, y.l))",
+        ]
+    )
+    pairs = spread.alias("x").join(spread.alias("y"), F.expr(on)).select(
+        F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.expr("least(x.l, y.l)").alias("l"), F.expr(known).alias("known")
     )
-    met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("l").alias("l")).where("shared >= l").select("a", "b")
-    second = _verified(docs, met, k, num, den)
-    named = written(components(first.union(second)))
+    met = pairs.groupBy("a", "b").agg((F.count(F.lit(1)) + F.max("known")).alias("shared"), F.max("l").alias("l"))
+    return met.where("shared >= l").select("a", "b")
 
-    keyed = classes.join(named.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (least id with an equal set), component_id.
+
+    ``num / den`` is the least Jaccard similarity of a link.
+    """
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    _text.small_batches(docs.sparkSession)
+    rows = written(docs.mapInArrow(_summaries(k), "doc_id long, n long, k1 long, k2 long"))
+
+    full = rows.where("n > 0 and doc_id is not null")
+    classes = written(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id")))
+    copies = written(full.join(classes, ["k1", "k2", "n"]).where("doc_id <> class_id").select("doc_id").distinct())
+
+    few = copies.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    tokens = docs.where("doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
+    tokens = tokens.mapInArrow(_listed(k, num, den), "doc_id long, n int, listed int, tokens array<bigint>")
+    lists = _prefixes(tokens, _hot(tokens, rows.count()), num, den)
+    fields = ", ".join(f"b{i} long" for i in range(MAP_WORDS))
+    chosen = _chosen(docs, lists.select("doc_id").distinct())
+    maps = written(chosen.mapInArrow(_bitmaps(k), f"doc_id long, n long, wide binary, {fields}").dropDuplicates(["doc_id"]))
+
+    merged, before = None, float("inf")
+    for turn in range(MAX_STARS + 1):
+        marked = lists.withColumn("c", F.col("doc_id"))
+        if merged is not None:
+            marked = lists.join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+        marked = written(marked)
+        by_class = marked.groupBy("token", "c").agg(F.count(F.lit(1)).cast("double").alias("k"))
+        by_token = by_class.groupBy("token").agg(F.sum("k").alias("len"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        mixed = written(by_token.where("len * len > same"))
+        pairs = F.expr(f"if(len >= {LONG}, (len * len - same) / 2, 0D)")
+        size = mixed.agg(F.coalesce(F.sum("len"), F.lit(0.0)).alias("postings"), F.coalesce(F.sum(pairs), F.lit(0.0)).alias("pairs")).first()
+        if turn == MAX_STARS or size.pairs <= DIRECT * size.postings or turn > 1 and size.pairs > 0.9 * before:
+            break
+        before = size.pairs
+        found = _verified(docs, maps, _star_pairs(marked, mixed, maps, turn, num, den), k, num, den)
+        merged = written(components(found if merged is None else found.union(merged.toDF("a", "b"))))
+
+    if size.postings:
+        found = _verified(docs, maps, _full_pairs(marked, mixed, maps, num, den), k, num, den)
+        merged = written(components(found if merged is None else found.union(merged.toDF("a", "b"))))
+    keyed = classes.withColumn("component", F.col("class_id"))
+    if merged is not None:
+        keyed = classes.join(merged.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     found = rows.where("n > 0").join(keyed, ["k1", "k2", "n"], "left")
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id")
