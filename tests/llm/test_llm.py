@@ -13,6 +13,7 @@ import compare
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sonogrid.llm import _text, bpe, components, exact_dedup, katz, language_id, mixing, ngram_join, order_minhash, quality, queries, url_filter, warc
@@ -78,13 +79,87 @@ def test_ngram_join(spark, docs, k, num):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-def test_ngram_join_blocks_and_joins(spark, docs, monkeypatch):
+@pytest.mark.parametrize("early,direct,stars", [(1, 0, 0), (3, 0, 2), (16, 0, 6), (2, 1000, 6)])
+def test_ngram_join_rounds(spark, docs, monkeypatch, early, direct, stars):
     rows, df = docs
-    monkeypatch.setattr(ngram_join, "BLOCK", 2)
-    monkeypatch.setattr(ngram_join, "MAX_BROADCAST_IDS", 1)
+    for name, value in {"BLOCK": 2, "MAX_BROADCAST_IDS": 1, "EARLY": early, "DIRECT": direct, "MAX_STARS": stars, "HOT_LEAST": 2, "SAMPLE": 2, "MAP_WORDS": 1, "LONG": 2, "PART": 3}.items():
+        monkeypatch.setattr(ngram_join, name, value)
     got = ngram_join.jaccard_components(df, 2, 60, 100).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2, 60, 100)
+
+
+def test_ngram_join_edges(spark):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
+    df = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (2, "a B c"), (None, "x"), (9, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()), key=str)
+    assert got == [(2, 1, 2), (4, 1, 2), (9, 0, 9), (None, 1, 2), (None, 1, None)]
+
+
+def test_ngram_join_makes_a_pair_once(spark):
+    """A group of near misses: the full round makes one row a pair."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for at in rng.sample(range(0, 120, 3), 7):
+            words[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 3, 80, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, 3, 80, 100).collect()} == want
+
+
+@pytest.mark.parametrize("n,m", [(5, 6), (40, 45), (300, 900), (1, 64)])
+def test_maps_bound_the_difference(n, m):
+    rng = np.random.default_rng(n)
+    a, b = (rng.integers(0, 1 << 63, size, dtype=np.uint64) for size in (n, m))
+    b[: n // 2] = a[: n // 2]
+    wide = [ngram_join._parity(s, max(64, 2 << len(s).bit_length())).tobytes() for s in (a, b)]
+    bound = ngram_join.least_difference(*wide)
+    assert bound <= len(set(a.tolist()) ^ set(b.tolist())) and ngram_join.least_difference(wide[0], wide[0]) == 0 and bound > 0
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [8, 200, 256, 257, 1024, 4096])
+def test_words_of_any_form_have_their_own_hash(spark, n):
+    """Thue-Morse words and their complements, which no polynomial modulo a power of two tells apart."""
+    a = thue_morse(n)
+    b = a.translate(str.maketrans("ab", "ba"))
+    raw = np.frombuffer(f"{a} {b} {a}\0 {a}".encode(), np.uint8)
+    found, _ = _text.words(raw, np.array([0, len(raw)]))
+    assert len(set(found.tolist())) == 3 and found[0] == found[3]
+    starts, ends = _text.runs((~_text.IS_SPACE[raw]).view(np.uint8), np.array([0, len(raw)]))
+    assert _text.same_bytes(raw, starts, ends, np.array([0, 1, 2, 0])) and not _text.same_bytes(raw, starts, ends, np.array([0, 0, 2, 0]))
+    df = spark.createDataFrame([(1, f"{a} x y"), (2, f"{b} x y")], "doc_id long, text string")
+    assert [r.component_id for r in ngram_join.jaccard_components(df, 3, 90, 100).orderBy("doc_id").collect()] == [1, 2]
+    scored = katz.score_texts(df, F.col("doc_id") == 2).where("doc_id = 2").first()
+    assert (scored.n_tokens, scored.n_known) == (4, 3)
+
+
+def test_bpe_of_words_alike(spark):
+    import public_tokenizers
+    import tiktoken
+
+    path = queries.vocabulary_path()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    a = thue_morse(4096)
+    text = a + "\n" + a.translate(str.maketrans("ab", "ba"))
+    got = bpe.encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), path, keep_ids=True).first()
+    assert got.ids == library.encode_ordinary(text) and got.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_bpe_without_hashes(spark, docs, monkeypatch):
+    """Where all hashes are equal the pieces are told apart by their bytes."""
+    path = queries.vocabulary_path()
+    coder = bpe.Encoder(bpe.load_ranks(path))
+    raw = np.frombuffer("one two three two one".encode(), np.uint8)
+    want = coder.encode(raw, np.array([0, len(raw)]))[0].tolist()
+    monkeypatch.setattr(_text, "hashes", lambda raw, starts, ends: np.zeros(len(starts), np.uint64))
+    assert coder.encode(raw, np.array([0, len(raw)]))[0].tolist() == want
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -123,48 +198,163 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.exact_duplicates(empty(spark)).count() == 0 and exact_dedup.drop_exact_duplicates(empty(spark)).count() == 0
 
 
-def test_exact_dedup_joined_filter(spark, docs, monkeypatch):
+@pytest.mark.parametrize("words", [1, 3, 1 << 25])
+def test_exact_dedup_filter_of_any_size(spark, docs, monkeypatch, words):
+    """A filter that is too small lets all rows through to the shuffle and changes nothing."""
     rows, df = docs
-    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_WORDS", 0)
-    assert exact_dedup.exact_duplicates(df).where("kept").count() == len({re.sub("[\x20\x09-\x0d]+", " ", t or "") for _, t, *_ in rows})
+    monkeypatch.setattr(exact_dedup, "MAX_WORDS", words)
+    alive = len({re.sub("[\x20\x09-\x0d]+", " ", t or "") for _, t, *_ in rows})
+    assert exact_dedup.exact_duplicates(df).where("kept").count() == alive
+    assert exact_dedup.drop_exact_duplicates(df).count() == alive
     hot = spark.range(500).selectExpr("id as doc_id", "if(id % 3 = 0, 'same', cast(id as string)) as text")
     got = exact_dedup.exact_duplicates(hot)
     assert got.where("kept").count() == 334 and got.agg(F.max("group_size")).first()[0] == 167
 
 
-def test_order_minhash(spark, docs):
-    rows, df = docs
-    got = {r.doc_id: r for r in order_minhash.edit_report(df).collect()}
-    ordered = sorted({(i, t or "") for i, t, *_ in rows}, reverse=True)
-    text = dict(ordered)
+def exchanged_columns(df):
+    """Names of the columns that each exchange of rows in the physical plan carries."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    found = []
+    for line in re.findall(r"Exchange hashpartitioning.*?\n(.*)", text):
+        found.append(set(re.findall(r"(\w+)#\d+", line)))
+    return found
+
+
+def test_exact_dedup_shuffles_no_text_it_has_no_equal_of(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MAX_WORDS", 4)
+    path = str(tmp_path / "d")
+    spark.range(4000).selectExpr("id as doc_id", "if(id < 40, 'same', repeat(cast(id as string), 50)) as text").write.parquet(path)
+    df = spark.read.parquet(path)
+    kept = exact_dedup.drop_exact_duplicates(df)
+    assert kept.count() == 3961
+    assert not any("text" in c for c in exchanged_columns(exact_dedup.exact_duplicates(df)))
+    # a filter of two words for one repeated text: nearly all rows are missed and stay where they are
+    hashed = df.withColumn("sha", F.unhex(F.sha2(F.col("text"), 256)))
+    once = hashed.groupBy("sha").count().where("count > 1").select("sha")
+    sieve = exact_dedup._packed(exact_dedup.marked_bits(once, "sha", 2, 1))
+    some, alone = exact_dedup.split_by_filter(hashed, "sha", sieve, 2)
+    assert some.count() + alone.count() == 4000 and 40 <= some.count() < 200 and some.where("doc_id < 40").count() == 40
+    assert not any("text" in c for c in exchanged_columns(alone))
+
+
+def spark_hash(values, seed=42):
+    """xxhash64 of SQL: the hash of each value seeds the next."""
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v
+        seed = xxhash.xxh64(data, seed=seed).intdigest()
+    return seed
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_fingerprint(text):
+    """Order MinHash over units, by sorting the k-mers anew for each sketch."""
+    bits, size = order_minhash._HASH_BITS, order_minhash.SKETCHES
+    units, at = [], 0
+    while at < len(text):
+        ends = lambda c: c in "\t\n\x0b\x0c\r aeo" or ord(c) >= 0x370
+        to = at
+        while to < len(text) and to - at < order_minhash.MAX_UNIT and not ends(text[to]):
+            to += 1
+        to += to < len(text) and ends(text[to])
+        units.append(text[at:to])
+        at = to
+    if not units:
+        return ""
+    k = order_minhash.K
+    mers = [spark_hash(units[i : i + k]) >> 64 - bits for i in range(len(units) - k + 1)] if len(units) >= k else [spark_hash([" ".join(units)]) >> 64 - bits]
+    nth, numbered = collections.Counter(), []
+    for place, h in enumerate(mers):
+        again = spark_hash([h.to_bytes(8, "little"), nth[h].to_bytes(4, "little")]) >> 64 - bits if nth[h] else h
+        nth[h] += 1
+        numbered.append((again, place))
+    out = ""
+    for j in range(size):
+        ranked = sorted(numbered, key=lambda m: ((m[0] - j * ((1 << bits) // size)) % (1 << bits), m[1]))[: order_minhash.TUPLE]
+        hashed = spark_hash([h.to_bytes(8, "little") for h, _ in sorted(ranked, key=lambda m: m[1])])
+        out += f"{hashed:08x}"[-8:]
+    return out
+
+
+def brute_likeness(a, b):
+    pairs = [(a[i : i + 8], b[i : i + 8]) for i in range(0, 8 * order_minhash.SKETCHES, 8)]
+    return 1.0 if a == b else 0.0 if not a or not b else sum(x == y for x, y in pairs) / order_minhash.SKETCHES
+
+
+def brute_report(rows):
+    """(doc_id, n_chars, sha of the edited text, ...) of each row, in the order that defines the next."""
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), signed(spark_hash([r[1]])), r[1]))
+    out = []
     for at, (i, t) in enumerate(ordered):
-        if i <= 3:
-            continue  # repeated rows follow themselves
         nxt = ordered[(at + 1) % len(ordered)][1]
         third = len(t) // 3
         edited = t[: len(t) - third] + nxt[:third]
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    by_text = collections.defaultdict(set)
-    for i, t in text.items():
-        by_text[t].add(got[i].fingerprint)
-    assert all(len(v) == 1 for v in by_text.values())
-    assert got[3 * 122].fingerprint == "" and len(got[0].fingerprint) == 8 * order_minhash.SKETCHES
-    assert sum(r.near_edited for r in got.values()) > 3 * sum(r.near_next for r in got.values())
+        f, g, h = map(brute_fingerprint, (t, edited, nxt))
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f, g, brute_likeness(f, g), brute_likeness(f, h)))
+    return sorted(out, key=str)
+
+
+UNBROKEN = ["x" * 900 + "y" * 300 + "x" * 300, "漢字仮名交じり文の例です。" * 30, "одно слово ещё", "ab" * 700, "😀😀é😀", "\x1c\x85 \u3000", " ", "one", ""]
+
+
+@pytest.mark.parametrize("ids", [range(0, 400, 2), [-9 * 10**18, 9 * 10**18, -(2**63), 2**63 - 1, 0], [*range(180), 10**15], [7] * 60 + [None] * 60 + [3] * 5])
+@pytest.mark.parametrize("rows", [512, 3])
+def test_order_minhash(spark, monkeypatch, ids, rows):
+    monkeypatch.setattr(order_minhash, "RANGE_ROWS", rows)
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("the of a ion ing sch über".split()) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    data = [(i, (UNBROKEN + texts)[at % 159] if at % 11 else None) for at, i in enumerate(ids)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in data], "doc_id long, text string, `range` string, mark int").repartition(3)
+    got = order_minhash.edit_report(df).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_report(data)
+
+
+def test_order_minhash_spreads_far_ids(spark):
+    df = spark.range(20000).selectExpr("if(id = 0, 1000000000000000, id) as doc_id", "cast(id as string) as text")
+    keyed = df.selectExpr("false as no_id", "~doc_id as down", "xxhash64(text) as mark")
+    starts = order_minhash._starts(keyed)
+    sizes = [r["count"] for r in keyed.withColumn("range", order_minhash._range_of(starts)).groupBy("range").count().collect()]
+    assert sum(sizes) == 20000 and len(sizes) == len(starts) > 20 and max(sizes) < 4 * order_minhash.RANGE_ROWS
+
+
+def test_order_minhash_empty_and_alone(spark):
     assert order_minhash.edit_report(empty(spark)).count() == 0
     one = order_minhash.edit_report(spark.createDataFrame([(7, "a b c", *["x"] * 2, 5, "y", "z")], SCHEMA)).first()
     assert one.near_next == 1.0
 
 
+def likeness_of(spark, pairs):
+    df = spark.createDataFrame(pairs, "a string, b string").select(*[order_minhash.fingerprint(F.col(x)).alias(x) for x in "ab"])
+    return [r[0] for r in df.select(order_minhash.likeness(F.col("a"), F.col("b"))).collect()]
+
+
 def test_order_minhash_sees_order(spark):
     words = [f"w{i}" for i in range(200)]
     turned = words[100:] + words[:100]
     mixed = [w for i in range(0, 200, 2) for w in (words[i + 1], words[i])]
     a, b, c = (" ".join(x) for x in (words, turned, mixed))
-    df = spark.createDataFrame([(a, b, c)], "a string, b string, c string")
-    f = df.select(*[order_minhash.fingerprint(F.col(x)).alias(x) for x in "abc"])
-    near = f.select(order_minhash.likeness(F.col("a"), F.col("b")).alias("t"), order_minhash.likeness(F.col("a"), F.col("c")).alias("m")).first()
-    assert near.m < near.t < 0.9
+    t, m = likeness_of(spark, [(a, b), (a, c)])
+    assert m < t < 0.9
+
+
+@pytest.mark.parametrize("script", ["latin", "unbroken latin", "han"])
+def test_order_minhash_falls_with_edit_distance(spark, script):
+    rng = random.Random(4)
+    signs = {"latin": "etaoinshrdlu    ", "unbroken latin": "etaoinshrdlucmfw", "han": [chr(0x4E00 + i) for i in range(900)]}[script]
+    pairs = []
+    shares = [0, 0.005, 0.02, 0.08, 0.3]
+    for share in shares:
+        for _ in range(8):
+            text = [rng.choice(signs) for _ in range(1500)]
+            edited = list(text)
+            for _ in range(int(share * len(text))):  # each is an edit distance of one
+                at = rng.randrange(len(edited))
+                rng.choice([lambda: edited.pop(at), lambda: edited.insert(at, rng.choice(signs)), lambda: edited.__setitem__(at, rng.choice(signs))])()
+            pairs.append(("".join(text), "".join(edited)))
+    got = np.array(likeness_of(spark, pairs)).reshape(len(shares), -1).mean(axis=1)
+    assert got[0] == 1 and (np.diff(got) < 0).all() and got[1] > 0.7 and got[2] > 0.25 and got[-1] < 0.1
 
 
 def test_url_filter(spark):
