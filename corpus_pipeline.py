@@ -19,11 +19,11 @@ from sonogrid.llm.queries import vocabulary_path
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an identified language: ``und`` and ambiguous ones go."""
-    carry = [(c, F.col(c)) for c in docs.columns if c not in ("doc_id", "text")]
-    carry.append(("kept_text", F.col("text")))
+    # under numbers, so that no column clashes with what the operator adds
+    carry = [(f"own{i}", F.col(f"`{c}`")) for i, c in enumerate(docs.columns)]
     found = language_id.identify_languages(docs, carry=carry)
     kept = found.where("lang_pred <> 'und' and not ambiguous")
-    return kept.select(*[F.col("kept_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[F.col(f"own{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = ngram_join.jaccard_components(docs, k=5, num=80, den=100)
     gone = written(classes.where("component_id <> doc_id").select("doc_id").distinct())
     few = gone.limit(ngram_join.MAX_BROADCAST_IDS + 1).count() <= ngram_join.MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
