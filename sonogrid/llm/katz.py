@@ -18,9 +18,22 @@ a key.  Three rounds (words, pairs, back-off sums) give a block all that its
 tokens need; then each token is scored from the pair down to the unknown type.
 Nothing but count-of-counts up to K + 1 and totals reaches the driver.
 
+Requests travel by levels of a fixed fan-out.  While blocks and buckets are FAN at
+most, blocks ask the buckets themselves.  Beyond that a block asks FAN parts of the
+key range; the requests of FAN blocks for one part meet in a task that merges them,
+each key once, and asks the next FAN parts within its own, and so on until a part is
+a bucket.  Answers go back the same way.  So no task asks or is asked by more than
+about FAN others, and the number of requests grows with the blocks times the levels,
+which are the logarithm of the input to the base FAN.
+
+The model has no order above two: the requests of triples and of the back-off sums
+of pairs would take about twice the disk that pairs take.
+
 Edge cases.  A null or empty text is one end token.  Without training texts all
 tokens are unknown with probability one.  Repeated rows and ids are scored each;
-a null id is in the training part.  Extra columns are not read.
+a null id is in the training part.  Very long texts are read whole; a block is cut
+between texts only, so it may hold one text of any length.  Extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -39,6 +52,7 @@ from sonogrid.llm._store import get_file, put_file, shared_dir, written
 
 BLOCK_TOKENS = 1_500_000
 BUCKET_KEYS = 1_000_000
+FAN = 512
 K = 5
 END = np.uint64(0x9D5C1F0B7A3E4C61)
 START = np.uint64(0x3B8F5E2D91C07A46)
@@ -120,74 +134,152 @@ def _blocks(folder: str):
     return run
 
 
-def _asked(block: str, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pd.DataFrame:
-    """A request a bucket for sorted keys; the order of the answers is that of the keys."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    at = np.searchsorted(bucket, np.arange(buckets + 1))
-    some = [b for b in range(buckets) if at[b] < at[b + 1]]
-    return pd.DataFrame(
-        {
-            "bucket": pd.Series(some, dtype="int64"),
-            "block": pd.Series([block] * len(some), dtype=object),
-            "keys": pd.Series([_pack_keys(keys[at[b] : at[b + 1]]) for b in some], dtype=object),
-            "counts": pd.Series([_squeeze(counts[at[b] : at[b + 1]].tobytes()) for b in some], dtype=object),
-        }
-    )
+def _pack_values(values: np.ndarray) -> bytes:
+    """Counts or sums, with a sign of their kind before them; counts in 32 bits where they fit."""
+    if values.dtype.kind == "f":
+        return b"d" + _squeeze(values.astype(np.float64).tobytes())
+    if len(values) and values.max() >= 1 << 31:
+        return b"l" + _squeeze(values.astype(np.int64).tobytes())
+    return b"i" + _squeeze(values.astype(np.int32).tobytes())
+
+
+def _unpack_values(data: bytes) -> np.ndarray:
+    kind = {b"d": np.float64, b"l": np.int64, b"i": np.int32}[bytes(data[:1])]
+    return np.frombuffer(_expand(data[1:]), kind)
+
+
+class Routes:
+    """How requests of so many blocks reach so many buckets: widths of the parts of each level, in buckets; the last is 1."""
+
+    def __init__(self, blocks: int, buckets: int):
+        self.blocks, self.buckets, self.widths = blocks, buckets, []
+        reach = FAN
+        while reach < max(blocks, buckets):
+            self.widths.append(-(-buckets // reach))
+            reach *= FAN
+        self.widths.append(1)
+
+    def asked(self, asker: str, keys: np.ndarray, values: np.ndarray, level: int) -> pd.DataFrame:
+        """A request a part for sorted keys; the order of the answers is that of the keys.
+
+        ``values``: a count a key, or a row of sums a key.
+        """
+        bucket = ((keys >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        parts, at = np.unique(bucket // self.widths[level], return_index=True)
+        ends = [*at[1:].tolist(), len(keys)]
+        cut = list(zip(at.tolist(), ends))
+        return pd.DataFrame(
+            {
+                "bucket": pd.Series(parts, dtype="int64"),
+                "block": pd.Series([asker] * len(cut), dtype=object),
+                "keys": pd.Series([_pack_keys(keys[a:b]) for a, b in cut], dtype=object),
+                "counts": pd.Series([_pack_values(values[a:b]) for a, b in cut], dtype=object),
+            }
+        )
 
 
 def _answered(pdf: pd.DataFrame, column: str, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(_expand(x), dtype) for x in pdf.sort_values("bucket")[column]] or [np.zeros(0, dtype)])
 
 
-def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket: for each asked key 2 * total count + (1 for the first block that has it in training).
-
-    One more row, without block, has the counts of counts: of all keys, of 1 .. K + 1.
-    """
-    pdf = pdf.sort_values("block")
+def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(distinct keys, number of each asked key among them, values as asked, keys of each request) of requests in order."""
     asked = [_unpack_keys(x) for x in pdf["keys"]]
-    sizes = [len(x) for x in asked]
-    keys = np.concatenate(asked)
-    del asked
-    counts = np.concatenate([np.frombuffer(_expand(x), np.int32) for x in pdf["counts"]])
-    distinct, which = np.unique(keys, return_inverse=True)
-    total = np.bincount(which, counts, len(distinct)).astype(np.int64)
-    own = np.zeros(len(keys), np.int64)
+    values = [_unpack_values(x) for x in pdf["counts"]]
+    values = [v.reshape(len(k), -1) if v.dtype.kind == "f" else v for k, v in zip(asked, values)]
+    distinct, which = np.unique(np.concatenate(asked), return_inverse=True)
+    return distinct, which, np.concatenate(values), list(map(len, asked))
+
+
+def _first(which: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Marks the first of the requests that has a key in training."""
+    own = np.zeros(len(which), np.int64)
     used = np.flatnonzero(counts > 0)
     _, first = np.unique(which[used], return_index=True)
     own[used[first]] = 1
-    reply = total[which] * 2 + own
+    return own
+
+
+def _summed(which: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    if values.ndim == 2:
+        return np.stack([np.bincount(which, values[:, i], n) for i in range(values.shape[1])], axis=1)
+    return np.bincount(which, values, n).astype(np.int64)
+
+
+def _replies(pdf: pd.DataFrame, sizes: list[int], totals: np.ndarray, more: np.ndarray | None = None) -> pd.DataFrame:
     ends = np.cumsum(sizes)
-    kinds = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
-    stats = np.concatenate([[int((total > 0).sum())], kinds[1 : K + 2]]).astype(np.int64)
-    bucket = int(pdf["bucket"].iloc[0])
+    cut = [(e - s, e) for s, e in zip(sizes, ends)]
     return pd.DataFrame(
         {
-            "block": pd.Series([*pdf["block"], None], dtype=object),
-            "bucket": [bucket] * (len(sizes) + 1),
-            "totals": [_squeeze(reply[e - s : e].tobytes()) for s, e in zip(sizes, ends)] + [stats.tobytes()],
-            "more": [None] * (len(sizes) + 1),
+            "block": pd.Series(list(pdf["block"]), dtype=object),
+            "bucket": pd.Series(list(pdf["bucket"]), dtype="int64"),
+            "totals": pd.Series([_squeeze(totals[a:b].tobytes()) for a, b in cut], dtype=object),
+            "more": pd.Series([None if more is None else _squeeze(more[a:b].tobytes()) for a, b in cut], dtype=object),
         }
     )
 
 
+def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket: for each asked key 2 * total count + (1 for the first asker that has it in training).
+
+    One more row, without block, has the counts of counts: of all keys, of 1 .. K + 1.
+    """
+    pdf = pdf.sort_values("block")
+    distinct, which, counts, sizes = _merged(pdf)
+    total = _summed(which, counts, len(distinct))
+    kinds = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
+    stats = np.concatenate([[int((total > 0).sum())], kinds[1 : K + 2]]).astype(np.int64)
+    out = _replies(pdf, sizes, total[which] * 2 + _first(which, counts))
+    out.loc[len(out)] = [None, int(pdf["bucket"].iloc[0]), stats.tobytes(), None]
+    return out
+
+
 def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
     """A bucket: for each asked history both back-off sums over all blocks."""
-    asked = [_unpack_keys(x) for x in pdf["keys"]]
-    sizes = [len(x) for x in asked]
-    keys = np.concatenate(asked)
-    pairs = np.concatenate([np.frombuffer(_expand(x), np.float64).reshape(-1, 2) for x in pdf["counts"]])
-    distinct, which = np.unique(keys, return_inverse=True)
-    a, b = (np.bincount(which, pairs[:, i], len(distinct))[which] for i in (0, 1))
-    ends = np.cumsum(sizes)
-    return pd.DataFrame(
-        {
-            "block": pd.Series(list(pdf["block"]), dtype=object),
-            "bucket": list(pdf["bucket"]),
-            "totals": [_squeeze(a[e - s : e].tobytes()) for s, e in zip(sizes, ends)],
-            "more": [_squeeze(b[e - s : e].tobytes()) for s, e in zip(sizes, ends)],
-        }
-    )
+    pdf = pdf.sort_values("block")
+    distinct, which, pairs, sizes = _merged(pdf)
+    a, b = _summed(which, pairs, len(distinct)).T
+    return _replies(pdf, sizes, a[which], b[which])
+
+
+def _combine(routes: Routes, level: int, folder: str):
+    """The requests of a group of askers for one part: merged, and asked of the parts of the next level."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        distinct, which, values, sizes = _merged(pdf)
+        asker = f"{folder}/{level}.{pdf['part_of'].iloc[0]}.{pdf['bucket'].iloc[0]}"
+        own = np.zeros(len(which), np.int64) if values.ndim == 2 else _first(which, values)
+        _save(asker, which=which.astype(np.int32), own=own.astype(bool), sizes=np.array(sizes), bucket=pdf["bucket"].to_numpy(), block=np.array(list(pdf["block"])))
+        return routes.asked(asker, distinct, _summed(which, values, len(distinct)), level)
+
+    return run
+
+
+def _distribute(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The answers to merged requests, told to those who asked."""
+    held = _load(pdf["block"].iloc[0])
+    which, sizes = held["which"], held["sizes"].tolist()
+    asked = pd.DataFrame({"block": held["block"].tolist(), "bucket": held["bucket"]})
+    if pdf["more"].iloc[0] is not None:
+        return _replies(asked, sizes, *(_answered(pdf, c, np.float64)[which] for c in ("totals", "more")))
+    got = _answered(pdf, "totals", np.int64)[which]
+    return _replies(asked, sizes, got - (got & 1) + (got & held["own"]))
+
+
+def _routed(requests: DataFrame, routes: Routes, folder: str, answer) -> tuple[DataFrame, DataFrame]:
+    """(answers to the blocks, rows without block) of requests, by the levels of the routes."""
+    folder = f"{folder}/{uuid.uuid4().hex}"
+    groups = routes.blocks
+    for level in range(1, len(routes.widths)):
+        groups = -(-groups // FAN)
+        dealt = requests.withColumn("part_of", F.expr(f"cast(pmod(xxhash64(block), {groups}) as long)"))
+        requests = dealt.groupBy("part_of", "bucket").applyInPandas(_combine(routes, level, folder), _REQUEST)
+    answers = written(requests.groupBy("bucket").applyInPandas(answer, _REPLY))
+    told = answers.where("block is not null")
+    for _ in range(1, len(routes.widths)):
+        told = told.groupBy("block").applyInPandas(_distribute, _REPLY)
+    return told, answers.where("block is null")
 
 
 def discounts(of: np.ndarray) -> np.ndarray:
@@ -232,14 +324,14 @@ def _events(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return history, word, np.repeat(np.arange(len(ends)), block["size"])
 
 
-def _ask_words(buckets: int):
+def _ask_words(routes: Routes):
     def run(batches):
         for batch in batches:
             for uri in batch.column("block").to_pylist():
                 block = _load(uri)
                 train = np.repeat(~block["held"], block["size"])
                 counts = np.bincount(block["stream"][train], minlength=len(block["words"])).astype(np.int32)
-                yield pa.RecordBatch.from_pandas(_asked(uri, block["words"], counts, buckets), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(routes.asked(uri, block["words"], counts, 0), preserve_index=False)
 
     return run
 
@@ -261,7 +353,7 @@ def _known_pairs(block: dict, c: np.ndarray):
     return pair[order], keys[order], counts[order]
 
 
-def _ask_pairs(buckets: int):
+def _ask_pairs(routes: Routes):
     """A block's word counts arrive; it keeps them beside it and asks for its pairs of known words."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -270,7 +362,7 @@ def _ask_pairs(buckets: int):
         c = _answered(pdf, "totals", np.int64) >> 1
         _save(f"{uri}.words", c=c)
         _, keys, counts = _known_pairs(block, c)
-        return _asked(uri, keys, counts, buckets)
+        return routes.asked(uri, keys, counts, 0)
 
     return run
 
@@ -282,7 +374,7 @@ def _seen(block: dict, c: np.ndarray, train_docs: int) -> tuple[np.ndarray, np.n
     return hashed, seen[np.argsort(hashed[seen])]
 
 
-def _ask_backoff(buckets: int, words: Words, d2: np.ndarray, train_docs: int):
+def _ask_backoff(routes: Routes, words: Words, d2: np.ndarray, train_docs: int):
     """A block's pair counts arrive; it keeps them and adds its own pairs' shares to the back-off sums."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -298,7 +390,7 @@ def _ask_backoff(buckets: int, words: Words, d2: np.ndarray, train_docs: int):
         b = np.bincount(h, words.p(c[w]), n)
         _save(f"{uri}.pairs", c2=c2)
         hashed, seen = _seen(block, c, train_docs)
-        return _asked(uri, hashed[seen], np.stack([a[seen], b[seen]], axis=1), buckets)
+        return routes.asked(uri, hashed[seen], np.stack([a[seen], b[seen]], axis=1).astype(np.float64), 0)
 
     return run
 
@@ -357,11 +449,11 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     size = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in blocks.columns[1:]], F.count(F.lit(1)).alias("n")).first()
     if not size.n:
         return spark.createDataFrame([], SCORED)
-    few = max(1, size.n_words // BUCKET_KEYS)
-    many = max(1, size.n_tokens // 2 // BUCKET_KEYS)
+    few = Routes(size.n, max(1, size.n_words // BUCKET_KEYS))
+    many = Routes(size.n, max(1, size.n_tokens // 2 // BUCKET_KEYS))
 
     spread = blocks.select("block").repartition(int(size.n), "block")
-    word_totals = written(spread.mapInArrow(_ask_words(few), _REQUEST).groupBy("bucket").applyInPandas(_totals, _REPLY))
+    replies, stats = _routed(spread.mapInArrow(_ask_words(few), _REQUEST), few, folder, _totals)
 
     def counted(replies: DataFrame) -> np.ndarray:
         """Distinct keys, then how many have counts 1 .. K + 1, summed over the buckets."""
@@ -371,24 +463,21 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
             return pd.DataFrame({"part": [0], **{f"s{i}": [total[i]] for i in range(K + 2)}})
 
         fields = ", ".join(f"s{i} long" for i in range(K + 2))
-        stats = replies.where("block is null").withColumn("part", F.expr("bucket div 1024"))
+        stats = replies.withColumn("part", F.expr("bucket div 1024"))
         parts = stats.groupBy("part").applyInPandas(add, f"part long, {fields}")
         return np.array(parts.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0)) for i in range(K + 2)]).first(), np.int64)
 
-    of1 = counted(word_totals)
+    of1 = counted(stats)
     words = Words(size.train_tokens, of1)
-    replies = word_totals.where("block is not null")
-    pair_totals = written(
-        replies.groupBy("block").applyInPandas(_ask_pairs(many), _REQUEST).groupBy("bucket").applyInPandas(_totals, _REPLY)
-    )
-    d2 = discounts(counted(pair_totals))
+    replies, stats = _routed(replies.groupBy("block").applyInPandas(_ask_pairs(many), _REQUEST), many, folder, _totals)
+    d2 = discounts(counted(stats))
+    replies = written(replies) if len(many.widths) > 1 else replies
     # a block none of whose pairs are known still has its words
-    replies = pair_totals.where("block is not null").unionByName(
-        spread.join(pair_totals.select("block").distinct(), "block", "left_anti").select("block", F.lit(0).cast("long").alias("bucket"), F.lit(b"").alias("totals"), F.lit(None).cast("binary").alias("more"))
-    )
-    sums = written(
-        replies.groupBy("block").applyInPandas(_ask_backoff(few, words, d2, size.train_docs), _REQUEST).groupBy("bucket").applyInPandas(_sums, _REPLY)
+    replies = replies.unionByName(
+        spread.join(replies.select("block").distinct(), "block", "left_anti").select("block", F.lit(0).cast("long").alias("bucket"), F.lit(b"").alias("totals"), F.lit(None).cast("binary").alias("more"))
     )
+    sums, _ = _routed(replies.groupBy("block").applyInPandas(_ask_backoff(few, words, d2, size.train_docs), _REQUEST), few, folder, _sums)
+    sums = written(sums) if len(few.widths) > 1 else sums
     sums = sums.unionByName(
         spread.join(sums.select("block").distinct(), "block", "left_anti").select("block", F.lit(0).cast("long").alias("bucket"), F.lit(b"").alias("totals"), F.lit(b"").alias("more"))
     )
