@@ -11,8 +11,13 @@ def remainder(id_col: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def different(*cols: str) -> Column:
+    """About how many different rows a group has; rows alike in all the columns count once."""
+    return F.approx_count_distinct(F.xxhash64(*[F.col(c) for c in cols]))
+
+
 def drawn(n_rows: int, wanted: int, *cols: str) -> Column:
-    """True for about ``wanted`` of ``n_rows`` rows, chosen by a hash of the columns; for all if there are no more.
+    """True for about ``wanted`` of ``n_rows`` different rows, chosen by a hash of the columns; for all if there are no more.
 
     Rows alike in all the columns are chosen together: those who collect the
     rows merge them first, so a row that is repeated without bound counts once.

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonogrid.llm import _text
-from sonogrid.llm._learn import Adam, drawn
+from sonogrid.llm._learn import Adam, different, drawn
 
 BUCKETS = 4096
 DIM = BUCKETS + 256
@@ -118,7 +118,7 @@ def _featured(batches):
 def train(docs: DataFrame, usable) -> tuple[list[str], dict] | None:
     """Languages and model from the usable rows of (doc_id, text, lang)."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(different("doc_id", "text").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if not counts:
         return None
     if len(counts) > MAX_LANGUAGES:

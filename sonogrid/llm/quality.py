@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonogrid.llm import _sketch, _text
-from sonogrid.llm._learn import Adam, drawn
+from sonogrid.llm._learn import Adam, different, drawn
 
 BUCKETS = 1 << 15
 DIM = 32
@@ -183,7 +183,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "d
     chosen = usable.where(drawn(usable.count(), MAX_TRAIN, "doc_id"))  # about MAX_TRAIN ids, two labels each at most
     labelled = docs.join(F.broadcast(chosen), "doc_id").select("quality", F.xxhash64("doc_id", "quality", "text").alias("mark"), "text")
     # ids may repeat: the rows are drawn again, and equal ones merged
-    sample = labelled.where(drawn(labelled.count(), MAX_TRAIN, "mark")).mapInArrow(_pool_rows(spark.sparkContext.broadcast(vectors)), "quality int, mark long, x binary")
+    n = labelled.agg(different("mark")).first()[0]
+    sample = labelled.where(drawn(n, MAX_TRAIN + MAX_TRAIN // 4, "mark")).mapInArrow(_pool_rows(spark.sparkContext.broadcast(vectors)), "quality int, mark long, x binary")
     got = sample.groupBy("quality", "mark").agg(F.min("x").alias("x")).orderBy("mark").limit(MAX_TRAIN).select("quality", "x").collect()
     got.sort(key=lambda r: (bytes(r.x), r.quality))
     x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float64).reshape(len(got), vectors.shape[1] + 1)
