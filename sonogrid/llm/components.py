@@ -27,9 +27,23 @@ def _star(links: DataFrame, larger_only: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _ordered(links: DataFrame) -> DataFrame:
+    """(u, v) with u > v of links (a, b)."""
+    return links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def contracted(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(u, v), written: one round of stars over new links (a, b) and what an earlier call gave.
+
+    Connects what the links connect, mostly in stars around least ids, but not to the end.
+    """
+    now = _ordered(links)
+    return written(_star(_star(now if before is None else now.union(before), True), False))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all ids in the links (a, b); the component is the least id reachable."""
-    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = written(_ordered(links))
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

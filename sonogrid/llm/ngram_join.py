@@ -66,7 +66,7 @@ from pyspark.sql import functions as F
 
 from sonogrid.llm import _text
 from sonogrid.llm._store import written
-from sonogrid.llm.components import components
+from sonogrid.llm.components import components, contracted
 
 LISTED = 2.0
 MAX_MATCHES = 4
@@ -353,7 +353,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     for turn in range(MAX_STARS + 1):
         marked = lists.withColumn("c", F.col("doc_id"))
         if merged is not None:
-            marked = lists.join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+            # not all of a class need have one number yet: then some of its pairs are verified in vain
+            least = merged.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("least"))
+            marked = lists.join(least, "doc_id", "left").withColumn("c", F.coalesce("least", "doc_id")).drop("least")
         marked = written(marked)
         by_class = marked.groupBy("token", "c").agg(F.count(F.lit(1)).cast("double").alias("k"))
         by_token = by_class.groupBy("token").agg(F.sum("k").alias("len"), F.sum(F.col("k") * F.col("k")).alias("same"))
@@ -363,15 +365,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         if turn == MAX_STARS or size.pairs <= DIRECT * size.postings or turn > 1 and size.pairs > 0.9 * before:
             break
         before = size.pairs
-        found = _verified(docs, maps, _star_pairs(marked, mixed, maps, turn, num, den), k, num, den)
-        merged = written(components(found if merged is None else found.union(merged.toDF("a", "b"))))
+        merged = contracted(_verified(docs, maps, _star_pairs(marked, mixed, maps, turn, num, den), k, num, den), merged)
 
+    links = None if merged is None else merged.toDF("a", "b")
     if size.postings:
         found = _verified(docs, maps, _full_pairs(marked, mixed, maps, num, den), k, num, den)
-        merged = written(components(found if merged is None else found.union(merged.toDF("a", "b"))))
+        links = found if links is None else links.union(found)
     keyed = classes.withColumn("component", F.col("class_id"))
-    if merged is not None:
-        keyed = classes.join(merged.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    if links is not None:
+        named = written(components(links)).withColumnRenamed("id", "class_id")
+        keyed = classes.join(named, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     found = rows.where("n > 0").join(keyed, ["k1", "k2", "n"], "left")
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id")
