@@ -180,6 +180,15 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 10: 10, 11: 10, 20: 20, 30: 20, 40: 20, 50: 20, 60: 20, 70: 20, 5: 5}
 
 
+def test_contracted_links_connect_the_same(spark):
+    links = [(1, 2), (2, 3), (3, 9), (10, 11), (50, 40), (40, 30), (30, 20), (20, 60), (60, 70), (5, 5)]
+    first = components.contracted(spark.createDataFrame(links[:5], "a long, b long"))
+    now = components.contracted(spark.createDataFrame(links[5:], "a long, b long"), first)
+    assert now.where("u <= v").count() == 0
+    got = {r.id: r.component for r in components.components(now.toDF("a", "b")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 1, 10: 10, 11: 10, 20: 20, 30: 20, 40: 20, 50: 20, 60: 20, 70: 20}
+
+
 def test_exact_dedup(spark, docs):
     rows, df = docs
     norm = {i: re.sub("[\x20\x09-\x0d]+", " ", t or "") for i, t, *_ in rows}
@@ -405,12 +414,11 @@ def brute_katz(rows, held):
                 hist[h] += 1
     n = sum(uni.values())
 
-    def of(counter):
-        got = collections.Counter(min(c, katz.K + 2) for c in counter.values())
-        return np.array([len(counter), *[got[r] for r in range(1, katz.K + 2)]], np.int64)
-
-    words, d2 = katz.Words(n, of(uni)), katz.discounts(of(bi))
-    p1 = lambda w: float(words.p(np.array([uni[w]]))[0])
+    d1, d2 = good_turing(uni.values()), good_turing(bi.values())
+    known = {w: c * d1.get(c, 1) / n for w, c in uni.items()}
+    rest = max(1 - sum(known.values()), 1 / (n + 1))  # the unknown type's
+    scale1 = (1 - rest) / sum(known.values())
+    p1 = lambda w: known[w] * scale1 if w in known else rest
     seen = collections.defaultdict(list)
     for h, w in bi:
         seen[h].append(w)
@@ -418,7 +426,7 @@ def brute_katz(rows, held):
     def p(w, h):
         if not hist[h]:
             return p1(w)
-        pair = {x: bi[h, x] * (d2[bi[h, x]] if bi[h, x] <= katz.K else 1) / hist[h] for x in seen[h]}
+        pair = {x: bi[h, x] * d2.get(bi[h, x], 1) / hist[h] for x in seen[h]}
         left = 1 - sum(pair.values())
         scale = 1.0
         if left < 1e-9:
@@ -436,9 +444,40 @@ def brute_katz(rows, held):
     return out
 
 
-@pytest.mark.parametrize("block,bucket", [(3_000_000, 2_000_000), (300, 200)])
-def test_katz(spark, docs, monkeypatch, block, bucket):
+def good_turing(counts, k=5):
+    """Discount factors from a plain list of counts, by the published formula; half a count off where it has no answer."""
+    n = collections.Counter(counts)
+    try:
+        last = (k + 1) * n[k + 1] / n[1]
+        d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - last) / (1 - last) for r in range(1, k + 1)}
+        ok = last < 1 and all(0 < v < 1 for v in d.values())
+    except ZeroDivisionError:
+        ok = False
+    return d if ok else {r: (r - 0.5) / r for r in range(1, k + 1)}
+
+
+@pytest.mark.parametrize("counts", [[1] * 100 + [2] * 40 + [3] * 20 + [4] * 11 + [5] * 7 + [6] * 5 + [9, 50], [1, 1, 2], [], [7] * 5])
+def test_discounts(counts):
+    of = np.array([len(counts), *[counts.count(r) for r in range(1, katz.K + 2)]], np.int64)
+    got, want = katz.discounts(of), good_turing(counts)
+    assert [got[r] for r in range(1, 6)] == pytest.approx([want[r] for r in range(1, 6)])
+
+
+@pytest.mark.parametrize("blocks,buckets,widths", [(3, 2, [1]), (4, 4, [1]), (5, 3, [1, 1]), (3, 9, [3, 1]), (70, 17, [5, 2, 1, 1]), (2, 64, [16, 4, 1])])
+def test_routes(monkeypatch, blocks, buckets, widths):
+    monkeypatch.setattr(katz, "FAN", 4)
+    routes = katz.Routes(blocks, buckets)
+    assert routes.widths == widths
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
+    got = routes.asked("a", keys, np.arange(500), 0)
+    assert len(got) <= 4 and (np.concatenate([katz._unpack_keys(k) for k in got["keys"]]) == keys).all()
+    assert (np.concatenate([katz._unpack_values(v) for v in got["counts"]]) == np.arange(500)).all()
+
+
+@pytest.mark.parametrize("block,bucket,fan", [(3_000_000, 2_000_000, 512), (300, 200, 512), (300, 200, 3), (500, 90, 2)])
+def test_katz(spark, docs, monkeypatch, block, bucket, fan):
     monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(katz, "FAN", fan)
     monkeypatch.setattr(katz, "BUCKET_KEYS", bucket)
     rows = docs[0]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -631,3 +670,209 @@ def test_pipeline(spark, docs, tmp_path):
     again = brute_components([r for r in rows if r[0] in alive], 5, 80, 100)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in alive if again[i][1] == i)
     assert kept.columns == df.columns and sets
+
+
+def offsets_of(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])])
+
+
+def kind_runs(text):
+    """Runs of one kind of byte: small letters and bytes from 0x80, capitals, digits, other signs."""
+    out, last = [], None
+    for b in text.encode():
+        kind = 0 if b in b"\t\n\x0b\x0c\r " else 1 if 97 <= b <= 122 or b >= 128 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4
+        if kind and kind == last:
+            out[-1] += bytes([b])
+        elif kind:
+            out.append(bytes([b]))
+        last = kind
+    return out
+
+
+def test_word_vectors_by_plain_sums(spark):
+    texts = ["the cat The 12 cats!!", "a", "", "one two three two one é漢 x9", "the cat"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = quality.word_vectors(df)
+    bucket = lambda token: int(_text.hashes(np.frombuffer(token, np.uint8), np.array([0]), np.array([len(token)]))[0] >> np.uint64(40)) % quality.BUCKETS
+    index = np.zeros((quality.BUCKETS, quality.DIM))
+    for b in range(quality.BUCKETS):
+        for e in (0, 1):
+            index[b, quality.INDEX_AT[b, e]] = quality.INDEX_SIGN[b, e]
+    want = np.zeros((quality.BUCKETS, quality.DIM))
+    for text in texts:
+        cells = [bucket(t) for t in kind_runs(text)]
+        for i, c in enumerate(cells):
+            for j in range(max(0, i - quality.WINDOW), min(len(cells), i + quality.WINDOW + 1)):
+                if i != j:
+                    want[c] += index[cells[j]]
+    want /= np.maximum(1, np.linalg.norm(want, axis=1, keepdims=True))
+    assert np.abs(got[:, : quality.DIM] - want).max() < 1e-6 and (got[:, quality.DIM :] == index).all()
+    pooled = quality.pooled(got, *offsets_of(texts))
+    for row, text in zip(pooled, texts):
+        cells = [bucket(t) for t in kind_runs(text)]
+        mean = got[cells].mean(axis=0) if cells else np.zeros(got.shape[1])
+        assert np.abs(row[:-1] - mean).max() < 1e-5 and row[-1] == pytest.approx(math.log1p(len(cells)) / 10, abs=1e-6)
+
+
+def test_network_and_temperature():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 0] * x[:, 1] + 0.8 * rng.normal(size=400) > 0).astype(float)  # not linear, and noisy
+    model = quality.fit(x, y)
+    w1, b1, w2, b2 = model["params"]
+    for row, p in zip(x[:20], quality.predict(model, x[:20])):
+        z = [(v - m) / s for v, m, s in zip(row, model["mean"], model["scale"])]
+        hidden = [math.tanh(sum(z[i] * w1[i, j] for i in range(5)) + b1[j]) for j in range(quality.HIDDEN)]
+        logit = sum(h * w for h, w in zip(hidden, w2)) + b2[0]
+        assert p == pytest.approx(1 / (1 + math.exp(-logit / model["temperature"])), abs=1e-9)
+    assert ((quality.predict(model, x) >= 0.5) == y).mean() > 0.8
+    order = np.random.Generator(np.random.PCG64(3)).permutation(400)[:80]  # the rows kept for the temperature
+    loss = lambda t: float(np.logaddexp(0, -(2 * y[order] - 1) * quality._logits(model, x[order]) / t).mean())
+    assert model["temperature"] > 1 and loss(model["temperature"]) < loss(1.0)
+    assert quality.fit(x[:9], y[:9]) == {"share": y[:9].mean()}
+
+
+def test_quality_with_ids_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_TRAIN", 50)
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)) or fit(x, y))
+    df = spark.range(4000).selectExpr("1L as doc_id", "concat('word', id % 100, ' x') as text")
+    labels = spark.createDataFrame([(1, 0), (1, 1)] * 300, "doc_id long, quality int")
+    assert quality.score_quality(df, labels, F.lit(False)).count() == 4000 and 0 < seen[0] <= 50
+
+
+def test_language_features_and_decoding():
+    texts = ["Ab ab", "", "é漢", "xy"]
+    raw, offsets = offsets_of(texts)
+    got = language_id.features(raw, offsets)
+    for row, text in zip(got, texts):
+        data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        want = collections.Counter(language_id.BUCKETS + b for b in data)
+        for a, b, c in zip(data, data[1:], data[2:]):
+            want[((a * 0x1F123BB5 + b * 0x2C1B3C6D + c * 0x297A2D39) >> 7) & (language_id.BUCKETS - 1)] += 1
+        total = max(1, sum(want.values()))
+        assert {i: pytest.approx(math.sqrt(n / total), rel=1e-5) for i, n in want.items()} == {i: row[i] for i in np.flatnonzero(row)}
+    rng = np.random.default_rng(0)
+    n, bits = 3, language_id.codewords(3).shape[1]
+    model = {"code": language_id.codewords(n), "w": rng.normal(size=(4, bits)), "b": rng.normal(size=bits), "trust": rng.random((n, bits))}
+    x = rng.normal(size=(30, 4))
+    best, score, unsure = language_id.decode(model, x)
+    for i in range(30):
+        loss = [sum(model["trust"][lang, j] * math.log1p(math.exp(-model["code"][lang, j] * (x[i] @ model["w"][:, j] + model["b"][j]))) for j in range(bits)) for lang in range(n)]
+        order = sorted(range(n), key=loss.__getitem__)
+        assert best[i] == order[0] and unsure[i] == (loss[order[1]] - loss[order[0]] < language_id.AMBIGUOUS)
+        assert score[i] == pytest.approx(1 / sum(math.exp(-bits * (v - loss[order[0]])) for v in loss))
+
+
+def test_code_corrects_a_wrong_bit():
+    """Codewords of six languages differ in so many bits that one wrong bit changes no decoding."""
+    code = language_id.codewords(6)
+    assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= 3
+    model = {"code": code, "w": np.eye(31, dtype=np.float32), "b": np.zeros(31), "trust": np.full((6, 31), 1 / 31)}
+    for lang in range(6):
+        wrong = np.repeat(code[lang][None] * 3.0, 31, axis=0)
+        wrong[np.arange(31), np.arange(31)] *= -1
+        assert (language_id.decode(model, wrong)[0] == lang).all()
+
+
+@pytest.mark.parametrize("ids", ["1L", "cast(null as long)", "id % 3"])
+def test_language_id_with_ids_that_repeat(spark, monkeypatch, ids):
+    monkeypatch.setattr(language_id, "MAX_TRAIN", 40)
+    seen = []
+    fit = language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda x, y, n: seen.append(np.bincount(y).tolist()) or fit(x, y, n, 20))
+    df = spark.range(3000).selectExpr(f"{ids} as doc_id", "if(id % 2 = 0, concat('the of and ', id % 400), concat('der und sch ', id % 400)) as text", "if(id % 2 = 0, 'en', 'de') as lang")
+    got = language_id.identify_languages(df, carry=[("lang_true", F.col("lang"))])
+    assert got.count() == 3000 and len(seen[0]) == 2 and all(0 < n <= 20 for n in seen[0])
+    assert got.where("lang_pred = lang_true").count() > 2900
+
+
+def test_mixing_names_that_clash(spark):
+    rows = [(i, f"word{i % 5} " * (i % 40 + 1), ["en", "de"][i % 2], f"s{i % 3}", 0.5, 1, "r", 9.0, "x", "y") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, keep_probability double, own0 int, `mix.kept` string, mix_gap double, given_topic string, mix_draw string")
+    got = mixing.mix(df)
+    assert got.columns == [c for c in df.columns if c not in mixing.RESULTS] + mixing.RESULTS and got.count() == 120
+    assert all(0 <= r.keep_probability <= 1 and r.own0 == 1 and r.mix_draw == "y" and r.mix_gap < 1e-6 for r in got.collect())
+    kept = mixing.mixed(df)
+    assert kept.columns == df.columns and 0 < kept.count() <= 120 and kept.where("keep_probability = 0.5 and mix_gap = 9").count() == kept.count()
+    named = mixing.mix(df, topic_col="source")
+    assert {r.mix_topic for r in named.collect()} == {"s0", "s1", "s2"}
+
+
+def test_mixing_topics(spark):
+    """Two vocabularies in each of two languages: topics tell the vocabularies apart, and words are the tokens."""
+    rng = random.Random(6)
+    bags = {(lang, kind): [f"{lang}{kind}{i}" for i in range(30)] for lang in ("en", "de") for kind in ("law", "sea")}
+    rows = []
+    for i in range(200):
+        key = rng.choice(sorted(bags))
+        rows.append((i, " ".join(rng.choice(bags[key]) for _ in range(rng.randint(20, 60))) + "\n", key[0], "s", key[1]))
+    rows += [(900, None, "en", "s", "-"), (901, " \n", None, None, "-")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kind string")
+    got = mixing.mix(df).collect()
+    by_topic = collections.defaultdict(collections.Counter)
+    for r in got:
+        assert r.mix_tokens == len(WORD.findall(r.text or ""))
+        by_topic[r.mix_topic][r.lang, r.kind] += 1
+    assert set(by_topic.pop("")) == {("en", "-"), (None, "-")}
+    assert sum(c.most_common(1)[0][1] for c in by_topic.values()) >= 190 and len(by_topic) >= 4
+
+
+def test_mixing_vectors():
+    texts = ["a b a", "", "The the"]
+    x, n = mixing._vectors(*offsets_of(texts))
+    assert n.tolist() == [3, 0, 2] and sorted(x[0][x[0] > 0].tolist()) == pytest.approx([math.sqrt(1 / 3), math.sqrt(2 / 3)]) and x[1].sum() == 0 and x[2].max() == 1
+
+
+def test_url_training():
+    """The weights against plain matrices, and the labelled table they are fitted on."""
+    urls = url_filter.LABELLED_URLS
+    got, bias = url_filter.train(epochs=20)
+    x = np.zeros((len(urls), url_filter.N_BUCKETS))
+    for row, (url, _) in zip(x, urls):
+        key = "^" + "".join(url_filter.split_url(url)) + "$"
+        for i in range(len(key) - 3):
+            row[int(hashlib.md5(key[i : i + 4].encode()).hexdigest()[:3], 16)] += 1
+        row /= math.sqrt(len(key) - 3)
+    y = np.array([label for _, label in urls])
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    w, b = np.zeros(url_filter.N_BUCKETS), 0.0
+    touched = (x > 0).any(axis=0)
+    for _ in range(20):
+        err = (1 / (1 + np.exp(-(x @ w + b))) - y) * share
+        b -= 2.0 * err.sum()
+        w -= 2.0 * (x.T @ err + 1e-4 * np.where(touched, w, 0))
+    assert got == pytest.approx(w.tolist(), abs=2e-6) and bias == pytest.approx(b, abs=2e-6)
+    w, b = url_filter.train()
+    assert (((x @ np.array(w) + b) > 0) == (y == 1)).all()
+
+
+def test_url_filter_keeps_own_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.org/", "mine", "too")], "page_id long, url string, url_key string, _url_key string")
+    got = url_filter.judge_urls(df)
+    assert got.columns == [*df.columns, "host", "path", "rule", "block_score", "verdict"] and got.first().url_key == "mine"
+
+
+def test_warc_bounds_files_by_records(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1000)
+    df = spark.range(200).selectExpr("id as page_id", "cast(null as string) as url", "cast(null as string) as html").coalesce(1)
+    assert warc.write_archives(df).select("file").distinct().count() > 20
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """An empty table, and columns named as the operators' own."""
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"{w}{i % 7}" for w in ["the", "of", "and"] * 9), "en" if i % 2 else "de", "s", 3, 0.5, "en", True, "z") for i in range(40)] + [(None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, score double, lang_pred string, mix_kept boolean, own1 string")
+    for name, table in (("none", df.limit(0)), ("some", df)):
+        (tmp_path / name).mkdir()
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert got.count() <= 14 and (name == "some") == (got.count() > 0)
+        docs = table
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == df.columns
