@@ -112,19 +112,6 @@ def moving_average(x: Column, n: int, window: int = 5) -> Column:
     return F.transform(x, lambda _, i: mean(i))
 
 
-def medfilt(x: Column, n: int, kernel: int = 3) -> Column:
-    """Running median with whole-sample reflection at both ends."""
-    if kernel % 2 == 0 or kernel < 1 or kernel > 2 * n - 1:
-        raise ValueError("the kernel must be odd and at most 2n - 1")
-    half = kernel // 2
-    around = F.sequence(F.lit(-half), F.lit(half))
-
-    def folded(j: Column) -> Column:
-        return F.when(j < 0, -j).when(j > n - 1, 2 * (n - 1) - j).otherwise(j)
-
-    return F.transform(x, lambda _, i: F.get(F.array_sort(F.transform(around, lambda d: F.get(x, folded(i + d)))), F.lit(half)).cast("double"))
-
-
 def kurtosis(x: Column) -> Column:
     """Pearson's, of the population; 0 for a constant."""
 
@@ -202,3 +189,13 @@ def time_axis(start: Column, header) -> Column:
     """Times of an A-scan's samples; an own origin counts only where it is positive."""
     origin = F.when(start > 0, start).otherwise(F.lit(0))
     return F.transform(F.sequence(F.lit(0), F.lit(header.scanlen - 1)), lambda i: F.lit(float(header.tzero)) + (origin + i) / F.lit(float(header.samplerate)) * 1e3)
+
+
+def sample_index(t: Column, header) -> Column:
+    """Number of the sample nearest to a time of the shared axis, halves to even."""
+    return F.rint((t - F.lit(float(header.tzero))) / F.lit(header.spacing)).cast("int")
+
+
+def sample_time(i: Column, header) -> Column:
+    """Time of a sample of the shared axis."""
+    return F.lit(float(header.tzero)) + i * F.lit(header.spacing)

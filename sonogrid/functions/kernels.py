@@ -12,6 +12,22 @@ def rfft_magnitude(x):
     return np.abs(np.fft.rfft(x, axis=1))
 
 
+def irfft(z, n: int):
+    """Rows of n real samples from their half spectra."""
+    return np.fft.irfft(z, n, axis=1)
+
+
+def fft_spec(x, d: float):
+    """(magnitudes, frequencies) of one signal with sample spacing ``d``."""
+    x = np.asarray(x, float)
+    return np.abs(np.fft.rfft(x)), np.arange(len(x) // 2 + 1) / (d * len(x))
+
+
+def time_index(tzero: float, delta_t: float, num: int):
+    """``num`` times from ``tzero`` in steps of ``delta_t``."""
+    return tzero + delta_t * np.arange(num)
+
+
 def analytic(x):
     """Signal plus i times its Hilbert transform: positive frequencies doubled, DC and an even Nyquist kept."""
     n = x.shape[1]
@@ -168,6 +184,38 @@ def lfilter(b, a, x, state=None):
     return out
 
 
+def filtfilt(b, a, x):
+    """Zero-phase filter: forth and back over the rows, extended at both ends by odd reflection."""
+    width = max(len(a), len(b))
+    b, a = np.pad(b, (0, width - len(b))) / a[0], np.pad(a, (0, width - len(a))) / a[0]
+    edge, n = 3 * width, x.shape[1]
+    if n <= edge:
+        raise ValueError(f"the filter needs more than {edge} samples")
+    wide = np.hstack([2 * x[:, :1] - x[:, edge:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -edge - 2 : -1]])
+    state = _steady(b, a)
+    there = lfilter(b, a, wide, wide[:, :1] * state)[:, ::-1]
+    return lfilter(b, a, there, there[:, :1] * state)[:, ::-1][:, edge : edge + n]
+
+
+#: values of all windows that a running median holds at once
+MEDIAN_CELLS = 1 << 22
+
+
+def medfilt(x, kernel: int = 3):
+    """Running median with whole-sample reflection at both ends."""
+    n = x.shape[1]
+    if kernel % 2 == 0 or kernel < 1 or kernel > 2 * n - 1:
+        raise ValueError("the kernel must be odd and at most 2n - 1")
+    half = kernel // 2
+    wide = np.pad(x, ((0, 0), (half, half)), mode="reflect") if half else x
+    out = np.empty(x.shape)
+    step = max(1, MEDIAN_CELLS // (n * kernel))
+    for a in range(0, len(x), step):
+        windows = np.lib.stride_tricks.sliding_window_view(wide[a : a + step], kernel, axis=1)
+        out[a : a + step] = np.partition(windows, half, axis=2)[..., half]
+    return out
+
+
 def _steady(b, a):
     """State of a filter that has seen ones forever."""
     n = len(a) - 1
@@ -216,16 +264,22 @@ def decimate(x, q: int):
 
 
 def savgol_matrix(n: int, window: int = 5, order: int = 2):
-    """(n, n) smoothing matrix: local fits, the ends from the first and last whole window."""
-    if window % 2 == 0 or window > n or order >= window:
-        raise ValueError("the window must be odd, at most n and above the order")
+    """(n, n) smoothing matrix: local fits, the ends from the first and last whole window.
+
+    An even window reaches one sample further back than forward; its weights are
+    those of the fit's value at its middle, in reverse.
+    """
+    if window > n or not 0 <= order < window:
+        raise ValueError("the window must be at most n and above the order")
     half = window // 2
     powers = np.vander(np.arange(window) - half, order + 1, increasing=True).astype(float)
     fit = powers @ np.linalg.pinv(powers)
     out = np.zeros((n, n))
-    for i in range(n):
-        a = min(max(i - half, 0), n - window)
-        out[i, a : a + window] = fit[i - a]
+    for i in range(half, n - half):
+        out[i, i - half : i - half + window] = fit[::-1, half]
+    for i in range(half):
+        out[i, :window] = fit[i]
+        out[n - half + i, n - window :] = fit[window - half + i]
     return out
 
 

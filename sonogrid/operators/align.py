@@ -1,7 +1,9 @@
-"""Registration in time: two steps, an aggregate over all A-scans and a narrow pass.
+"""Registration in time: an aggregate over all A-scans, then a narrow pass.
 
 The new header depends on the data (spread of the offsets, common origin), so
-these calls run one aggregate at once.
+these calls run one aggregate at once.  It holds all that the header needs; the
+result is a lazy narrow pass, so a kernel runs once for the header and once for the
+result, and no signal is shuffled.
 """
 
 from __future__ import annotations
@@ -25,13 +27,23 @@ def collapse_starts(scan: Scan) -> Scan:
     return scan.with_df(scan.df.withColumn("start", F.lit(None).cast("int")), tzero=h.tzero + round(seen.lo / h.samplerate * 1e3))
 
 
-def _cropped(scan: Scan, df: DataFrame, length: int) -> Scan:
-    """Cut each A-scan at its ``offset``; -1 (new or old) silences it."""
+def _cropped(scan: Scan, df: DataFrame, length: int, origins=None) -> Scan:
+    """Cut each A-scan at its ``offset``; -1 (new or old) silences it.
+
+    ``origins``: (least, greatest) new origin, if known; a common one moves into the header.
+    """
     gone = (F.col("offset") == -1) | (F.coalesce(F.col("start"), F.lit(0)) == -1)
+    start = F.when(gone, F.lit(-1)).otherwise(F.coalesce(F.col("start"), F.lit(0)) + F.col("offset")).cast("int")
+    if origins is None:
+        seen = df.select(start.alias("start")).agg(F.min("start").alias("lo"), F.max("start").alias("hi")).first()
+        origins = (seen.lo, seen.hi)
     silent = F.array_repeat(F.lit(0).cast("tinyint"), length)
     cut = df.withColumn("signal", F.when(gone, silent).otherwise(F.slice("signal", F.greatest(F.col("offset"), F.lit(0)) + 1, F.lit(length))))
-    cut = cut.withColumn("start", F.when(gone, F.lit(-1)).otherwise(F.coalesce(F.col("start"), F.lit(0)) + F.col("offset")).cast("int"))
-    return collapse_starts(scan.with_df(cut.select(*scan.df.columns), scanlen=length))
+    lo, hi = origins
+    if lo is None or lo != hi or lo < 0:
+        return scan.with_df(cut.withColumn("start", start).select(*scan.df.columns), scanlen=length)
+    cut = cut.withColumn("start", F.lit(None).cast("int"))
+    return scan.with_df(cut.select(*scan.df.columns), scanlen=length, tzero=scan.header.tzero + round(lo / scan.header.samplerate * 1e3))
 
 
 def align_manual(scan: Scan, offsets: DataFrame, length: int) -> Scan:
@@ -57,12 +69,21 @@ def align_zgate(scan: Scan, threshold: float = 0.2, length: int = 2000) -> Scan:
 def _common(scan: Scan, df: DataFrame, max_gate_loss: float) -> Scan:
     """Crop to the common overlap of A-scans shifted by ``lag`` (NULL: none)."""
     n = scan.header.scanlen
-    seen = df.agg(F.min("lag").alias("lo"), F.max("lag").alias("hi")).first()
+    start = F.coalesce(F.col("start"), F.lit(0))
+    kept = F.col("lag").isNotNull() & (start != -1)
+    seen = df.agg(
+        F.min("lag").alias("lo"),
+        F.max("lag").alias("hi"),
+        F.min(F.when(kept, start + F.col("lag"))).alias("first"),
+        F.max(F.when(kept, start + F.col("lag"))).alias("last"),
+        F.count(F.when(~kept, 1)).alias("gone"),
+    ).first()
     spread = seen.hi - seen.lo
     if spread >= n or (max_gate_loss < 1 and spread > max_gate_loss * n):
         raise ValueError("the shifts lose too much of the gate")
     df = df.withColumn("offset", F.coalesce(F.col("lag") - F.lit(seen.lo), F.lit(-1)).cast("int"))
-    return _cropped(scan, df, n - spread)
+    origins = (-1, -1) if seen.gone or seen["first"] is None else (seen["first"] - seen.lo, seen["last"] - seen.lo)
+    return _cropped(scan, df, n - spread, origins)
 
 
 def align_xcorr(scan: Scan, reference: int = 0, max_shift: int | None = None, max_gate_loss: float = 1.0) -> Scan:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,8 +153,6 @@ def preprocess_column(x: Column, n: int, strategy: str, **options) -> Column | N
         return exprs.detrend(x)
     if strategy == "moving_average":
         return exprs.moving_average(x, n, options.get("window", 5))
-    if strategy == "medfilt":
-        return exprs.medfilt(x, n, options.get("kernel_size", 3))
     if strategy == "gate":
         return exprs.gate(x, n, options.get("start", 0), options.get("end", 0))
     return None
@@ -170,6 +169,10 @@ def preprocess_kernel(strategy: str, n: int, **options):
     if strategy == "savgol":
         m = kernels.savgol_matrix(n, options.get("window_length", 5), options.get("polyorder", 2))
         return lambda x: x @ m.T
+    if strategy == "medfilt":
+        size = options.get("kernel_size", 3)
+        kernels.medfilt(np.zeros((1, n)), size)  # an invalid size is an error of the plan
+        return lambda x: kernels.medfilt(x, size)
     if strategy == "envelope":
         return kernels.envelope
     raise ValueError(f"unknown strategy {strategy!r}")
