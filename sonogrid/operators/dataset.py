@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonogrid.functions import exprs
@@ -23,16 +23,34 @@ from sonogrid.operators import labels as L
 
 @dataclass(frozen=True)
 class Dataset:
+    """``df`` may also hold ``z`` (features), ``v`` (extra vectors) and ``split`` ('train' or 'test')."""
+
     df: DataFrame
     headers: tuple[Header, ...]
     label_names: tuple[str, ...]
     maxlen: int
     unsupervised: bool
     pad_value: float = 0.0
+    #: width of ``z``, if known
+    num_features: int | None = None
+    #: whether the last split shuffled
+    shuffled: bool = False
+
+    def __len__(self) -> int:
+        return self.num_samples
+
+    def __iter__(self) -> Iterator[tuple]:
+        return batches(self)
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        """All samples as a matrix on the driver, in row order."""
+        if copy is False:
+            raise ValueError("samples are gathered from the cluster: a copy cannot be avoided")
+        return _gathered(self.df, "x").astype(np.float32 if dtype is None else dtype)
 
     @property
     def num_samples(self) -> int:
-        return sum(h.nlines * h.scanspline for h in self.headers)
+        return sum(self.cube_counts)
 
     @property
     def cube_shapes(self) -> list[tuple[int, int]]:
@@ -42,10 +60,43 @@ class Dataset:
     def cube_counts(self) -> list[int]:
         return [a * b for a, b in self.cube_shapes]
 
+    @property
+    def cube_resolutions(self) -> list[float]:
+        return [h.resolution for h in self.headers]
+
+    @property
+    def scanlens(self) -> list[int]:
+        """Samples of each cube before padding."""
+        return [h.scanlen for h in self.headers]
+
+    @property
+    def handler_ids(self) -> DataFrame:
+        """(row_id, cube_id): the cube of each sample."""
+        return self.df.select("row_id", "cube_id")
+
+    @property
+    def spatial(self) -> DataFrame:
+        """(row_id, idx, x, y): cube and place in mm of each sample."""
+        return self.df.select("row_id", F.col("cube_id").alias("idx"), F.col("x_mm").alias("x"), F.col("y_mm").alias("y"))
+
+    @property
+    def has_z(self) -> bool:
+        return "z" in self.df.columns
+
+    def copy(self) -> Dataset:
+        return replace(self)
+
     def need_labels(self) -> None:
         if self.unsupervised:
             raise RuntimeError("the dataset is unsupervised")
 
+    def data_column(self, use_z: bool | None = None) -> str:
+        """'z' or 'x'; None takes features if there are any."""
+        name = "z" if (use_z if use_z is not None else self.has_z) else "x"
+        if name not in self.df.columns:
+            raise RuntimeError("no transformed features")
+        return name
+
     def preprocess(self, strategy: str, **options) -> Dataset:
         df, n = imaging.preprocess(self.df, self.maxlen, [(strategy, options)])
         return replace(self, df=df, maxlen=n)
@@ -62,11 +113,104 @@ class Dataset:
             z = z[:, None] if z.ndim == 1 else z
             return z.T if z.shape[0] == 1 and len(x) != 1 else z
 
-        return replace(self, df=with_kernel(self.df, self.maxlen, run, {"z": ("float", 1)}, "x", drop=False))
+        width = run(np.zeros((2, self.maxlen))).shape[1]
+        return replace(self, df=with_kernel(self.df, self.maxlen, run, {"z": ("float", 1)}, "x", drop=False), num_features=width)
+
+    def _with(self, name: str, vectors) -> Dataset:
+        kept = self.df.drop(name)
+        if vectors is None:
+            return replace(self, df=kept)
+        if not isinstance(vectors, DataFrame):
+            vectors = np.asarray(vectors, np.float32)
+            if vectors.ndim != 2 or len(vectors) != self.num_samples:
+                raise ValueError("one vector is needed for each sample")
+            vectors = self.df.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], f"row_id long, {name} array<float>")
+        return replace(self, df=kept.join(vectors.select("row_id", F.col(name).cast("array<float>").alias(name)), "row_id"))
+
+    def with_z(self, vectors, width: int | None = None) -> Dataset:
+        """Features from (row_id, z) or a matrix in row order; None removes them."""
+        if vectors is not None and not isinstance(vectors, DataFrame):
+            width = np.shape(vectors)[-1]
+        return replace(self._with("z", vectors), num_features=None if vectors is None else width)
+
+    def with_v(self, vectors) -> Dataset:
+        """Extra vectors from (row_id, v) or a matrix in row order; None removes them."""
+        return self._with("v", vectors)
+
+    def with_indices(self, train, test) -> Dataset:
+        """A split given by row numbers; rows in neither part have none."""
+        rows = [(int(r), "train") for r in train] + [(int(r), "test") for r in test]
+        if len({r for r, _ in rows}) < len(rows) or any(not 0 <= r < self.num_samples for r, _ in rows):
+            raise ValueError("rows must exist and lie in one part")
+        parts = self.df.sparkSession.createDataFrame(rows, "row_id long, split string")
+        return replace(self, df=self.df.drop("split").join(parts, "row_id", "left"))
+
+    def indices(self, split: str) -> np.ndarray:
+        """Row numbers of a part, a copy on the driver; all rows train before the first split."""
+        if split not in ("train", "test"):
+            raise ValueError("a split is 'train' or 'test'")
+        if "split" not in self.df.columns:
+            return np.arange(self.num_samples if split == "train" else 0)
+        rows = self.df.where(F.col("split") == split).select("row_id").orderBy("row_id")
+        return np.fromiter((r.row_id for r in rows.toLocalIterator()), np.int64)
+
+    @property
+    def train_indices(self) -> np.ndarray:
+        return self.indices("train")
+
+    @property
+    def test_indices(self) -> np.ndarray:
+        return self.indices("test")
+
+    def num_train_batches(self, batch_size: int = 64) -> int:
+        return num_batches(self, "train", batch_size)
+
+    def num_test_batches(self, batch_size: int = 64) -> int:
+        return num_batches(self, "test", batch_size)
+
+    def num_classes(self) -> int:
+        self.need_labels()
+        return L.num_classes(self.df)
 
+    def class_distribution(self) -> DataFrame:
+        self.need_labels()
+        return L.class_distribution(self.df, self.label_names)
 
-def pool(scans: list[Scan], pad_value: float = 0.0, unsupervised: bool | None = None) -> Dataset:
-    """All cubes as float samples, padded on the right to the longest; supervised if all cubes are labelled."""
+    def to_binary(self, positive) -> DataFrame:
+        """(row_id, label) with 1 for the positive label."""
+        self.need_labels()
+        return self.df.select("row_id", L.to_binary(positive, self.label_names, L.unique_labels(self.df)).alias("label"))
+
+    def to_one_hot(self) -> DataFrame:
+        """(row_id, one_hot)."""
+        self.need_labels()
+        return self.df.select("row_id", exprs.one_hot(F.col("label"), L.num_classes(self.df)).alias("one_hot"))
+
+    def relabel(self, mapping: dict) -> Dataset:
+        self.need_labels()
+        df, names = L.relabel(self.df, self.label_names, mapping)
+        return replace(self, df=df, label_names=names)
+
+    def load(self) -> Dataset:
+        """Hold the rows in the cluster's memory and disks."""
+        self.df.persist().count()
+        return self
+
+    @property
+    def loaded(self) -> bool:
+        return self.df.storageLevel.useMemory or self.df.storageLevel.useDisk
+
+
+def _gathered(df: DataFrame, column: str) -> np.ndarray:
+    """An array column in row order, on the driver; partitions arrive one at a time."""
+    return np.array([r[0] for r in df.orderBy("row_id").select(column).toLocalIterator()], np.float32)
+
+
+def pool(scans: list[Scan], pad_value: float = 0.0, unsupervised: bool | None = None, keep_labels: bool = False) -> Dataset:
+    """All cubes as float samples, padded on the right to the longest; supervised if all cubes are labelled.
+
+    ``keep_labels`` keeps the merged labels in an unsupervised set, for storing.
+    """
     if not scans:
         raise ValueError("no scans")
     labelled = [L.is_labeled(s.df) for s in scans] if not unsupervised else [False]
@@ -93,7 +237,7 @@ def pool(scans: list[Scan], pad_value: float = 0.0, unsupervised: bool | None =
         )
         first += s.header.nlines * s.header.scanspline
     names = ("healthy",)
-    if unsupervised:
+    if unsupervised and not keep_labels:
         whole = parts[0]
         for p in parts[1:]:
             whole = whole.unionByName(p)
@@ -105,45 +249,39 @@ def pool(scans: list[Scan], pad_value: float = 0.0, unsupervised: bool | None =
     return Dataset(whole, tuple(s.header for s in scans), names, length, unsupervised, pad_value)
 
 
+#: place of a sample: cube, and x and y in mm
+SPATIAL = [("idx", "i4"), ("x", "f4"), ("y", "f4")]
+
+
 def _check(test_size: float) -> None:
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
 
 
 def train_test_split(ds: Dataset, test_size: float = 0.2, seed: int = 0, shuffle: bool = True) -> Dataset:
-    """The first int(total * (1 - test_size)) of the (seeded) order train.
+    """The first int(total * (1 - test_size)) of the row order, or of the seeded order, train.
 
-    The cut is found from hashed order by a bucketed count, so no task sorts all rows.
+    The seeded order is never sorted: its cut is found on keys, and rows are
+    compared with it where they lie.
     """
     _check(test_size)
     n_train = int(ds.num_samples * (1 - test_size))
     if not shuffle:
-        return replace(ds, df=ds.df.withColumn("split", F.when(F.col("row_id") < n_train, "train").otherwise("test")))
-    keyed = ds.df.withColumn("_order", L.seeded(seed, "row_id"))
-    # counts of 4096 slices of the hash range: the slice that holds the cut alone is ranked
-    slice_of = F.shiftright("_order", 52).cast("int")
-    counts = sorted((r.s, r.n) for r in keyed.groupBy(slice_of.alias("s")).agg(F.count("*").alias("n")).collect())
-    before, edge = 0, 4096
-    for s, n in counts:
-        if before + n > n_train:
-            edge = s
-            break
-        before += n
-    keyed = keyed.withColumn("_slice", slice_of)
-    cut = keyed.where(F.col("_slice") == edge).select("row_id", F.row_number().over(Window.partitionBy("_slice").orderBy("_order", "row_id")).alias("_rank"))
-    inside = cut.where(F.col("_rank") <= n_train - before).select("row_id", F.lit(True).alias("_in"))
-    joined = keyed.join(inside, "row_id", "left")
-    train = (F.col("_slice") < edge) | F.coalesce(F.col("_in"), F.lit(False))
-    return replace(ds, df=joined.withColumn("split", F.when(train, "train").otherwise("test")).drop("_order", "_slice", "_in"))
+        return replace(ds, df=ds.df.withColumn("split", F.when(F.col("row_id") < n_train, "train").otherwise("test")), shuffled=False)
+    cut = L.cuts(ds.df, F.lit(0), "row_id", seed, lambda n: F.lit(n_train)).first()
+    if cut is None:
+        return replace(ds, df=ds.df.withColumn("split", F.lit("test")), shuffled=True)
+    upto = F.struct(L.seeded(seed, "row_id"), F.col("row_id")) <= F.struct(F.lit(cut.cut_order).cast("bigint"), F.lit(cut.cut_key).cast("bigint"))
+    return replace(ds, df=ds.df.withColumn("split", F.when(upto, "train").otherwise("test")), shuffled=True)
 
 
 def stratified_train_test_split(ds: Dataset, test_size: float = 0.2, seed: int = 0) -> Dataset:
     ds.need_labels()
-    return replace(ds, df=L.stratified_split(ds.df, test_size, seed, "label", "row_id"))
+    return replace(ds, df=L.stratified_split(ds.df, test_size, seed, "label", "row_id"), shuffled=True)
 
 
 def stratified_split_by_cube(ds: Dataset, test_size: float = 0.2, seed: int = 0) -> Dataset:
-    return replace(ds, df=L.stratified_split(ds.df, test_size, seed, "cube_id", "row_id"))
+    return replace(ds, df=L.stratified_split(ds.df, test_size, seed, "cube_id", "row_id"), shuffled=True)
 
 
 def split_by_label(ds: Dataset, label, test_size: float | None = None, seed: int = 0) -> Dataset:
@@ -162,10 +300,8 @@ def split_by_label(ds: Dataset, label, test_size: float | None = None, seed: int
     is_it = F.col("label") == value
     if test_size in (None, 1):
         return replace(ds, df=ds.df.withColumn("split", F.when(is_it, "test").otherwise("train")))
-    w = Window.partitionBy("_is")
-    ranked = ds.df.withColumn("_is", is_it).withColumns({"_rank": F.row_number().over(w.orderBy(L.seeded(seed, "row_id"), "row_id")), "_n": F.count("*").over(w)})
-    test = F.col("_is") & (F.col("_rank") <= L.split_sizes(F.col("_n"), test_size))
-    return replace(ds, df=ranked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_is", "_rank", "_n"))
+    found = L.cuts(ds.df.where(is_it), F.lit(True), "row_id", seed, lambda n: L.split_sizes(n, test_size))
+    return replace(ds, df=L.split_by_cuts(ds.df, is_it, "row_id", seed, found, "test", "train"), shuffled=True)
 
 
 def cube_data(ds: Dataset, cube: int) -> DataFrame:
@@ -174,8 +310,42 @@ def cube_data(ds: Dataset, cube: int) -> DataFrame:
     return ds.df.where(F.col("cube_id") == cube)
 
 
-def read_rows(ds: Dataset, rows: list[int]) -> DataFrame:
-    return ds.df.where(F.col("row_id").isin(rows))
+def cube_array(ds: Dataset, cube: int, column: str) -> np.ndarray:
+    """A column ('x', 'z', 'v' or 'label') of one cube on the driver, as (nlines, cols) or (nlines, cols, k)."""
+    if column == "label":
+        ds.need_labels()
+    elif column not in ds.df.columns:
+        raise RuntimeError(f"the dataset has no {column}")
+    held = cube_data(ds, cube).orderBy("row_id").select(column).collect()  # one cube
+    kind = np.int8 if column == "label" else np.float32
+    return np.array([r[0] for r in held], kind).reshape(*ds.cube_shapes[cube], *([] if column == "label" else [-1]))
+
+
+def read_rows(ds: Dataset, rows: list[int], use_z: bool = False) -> DataFrame:
+    """(pos, row_id, data) of the given rows in any order, repeats included."""
+    if any(not 0 <= r < ds.num_samples for r in rows):
+        raise IndexError("row out of range")
+    return L.take(ds.df, rows, "row_id").select("pos", "row_id", F.col(ds.data_column(use_z)).alias("data"))
+
+
+def to_dict(ds: Dataset, split: str = "train", use_z: bool | None = None) -> dict:
+    """data, handler_ids and spatial of a part, and labels and label_names if supervised: arrays on the driver."""
+    if split not in ("train", "test"):
+        raise ValueError("a split is 'train' or 'test'")
+    data = ds.data_column(use_z)
+    df = ds.df.where(F.col("split") == split) if "split" in ds.df.columns else ds.df if split == "train" else ds.df.limit(0)
+    held = list(df.select(data, "cube_id", "x_mm", "y_mm", "label", "row_id").orderBy("row_id").toLocalIterator())
+    spatial = np.array([(r.cube_id, r.x_mm, r.y_mm) for r in held], dtype=SPATIAL)
+    out = {"data": np.array([r[0] for r in held], np.float32), "handler_ids": spatial["idx"].copy(), "spatial": spatial}
+    if ds.unsupervised:
+        return out
+    return out | {"labels": np.array([r.label for r in held], np.int8), "label_names": list(ds.label_names)}
+
+
+def to_numpy(ds: Dataset, split: str = "train", use_z: bool | None = None) -> tuple:
+    """(X, y, spatial) of a part, or (X, spatial) if unsupervised."""
+    got = to_dict(ds, split, use_z)
+    return (got["data"], got["spatial"]) if ds.unsupervised else (got["data"], got["labels"], got["spatial"])
 
 
 def num_batches(ds: Dataset, split: str, batch_size: int = 64) -> int:
@@ -185,15 +355,13 @@ def num_batches(ds: Dataset, split: str, batch_size: int = 64) -> int:
 def batches(ds: Dataset, split: str | None = None, batch_size: int = 64, shuffle: bool = False, seed: int = 0, use_z: bool | None = None) -> Iterator[tuple]:
     """(X, y, spatial), or (X, spatial) if unsupervised; partitions stream to the driver one at a time."""
     df = ds.df if split is None else ds.df.where(F.col("split") == split)
-    data = "z" if (use_z if use_z is not None else "z" in ds.df.columns) else "x"
-    if data not in ds.df.columns:
-        raise RuntimeError("no transformed features")
+    data = ds.data_column(use_z)
     ordered = df.orderBy(L.seeded(seed, "row_id"), "row_id") if shuffle else df.orderBy("row_id")
     held: list = []
 
     def batch():
         x = np.array([r[data] for r in held], np.float32)
-        spatial = np.array([(r.cube_id, r.x_mm, r.y_mm) for r in held], dtype=[("idx", "i4"), ("x", "f4"), ("y", "f4")])
+        spatial = np.array([(r.cube_id, r.x_mm, r.y_mm) for r in held], dtype=SPATIAL)
         return (x, spatial) if ds.unsupervised else (x, np.array([r.label for r in held], np.int8), spatial)
 
     for row in ordered.toLocalIterator():
@@ -207,9 +375,7 @@ def batches(ds: Dataset, split: str | None = None, batch_size: int = 64, shuffle
 
 def cube_batches(ds: Dataset, use_z: bool | None = None, shuffle: bool = True, seed: int | None = None) -> Iterator[tuple]:
     """(X, y) of a whole cube at a time, of shapes (1, H, W, F) and (1, H, W), or (X,) if unsupervised; one cube is on the driver at once."""
-    data = "z" if (use_z if use_z is not None else "z" in ds.df.columns) else "x"
-    if data not in ds.df.columns:
-        raise RuntimeError("no transformed features")
+    data = ds.data_column(use_z)
     order = np.arange(len(ds.headers))
     if shuffle:
         np.random.default_rng(seed).shuffle(order)
@@ -238,3 +404,30 @@ def spatial_patches(ds: Dataset, patch=(32, 32), stride=(16, 16)) -> DataFrame:
     df = ds.df.select("cube_id", "row_id", "line", "col").join(F.broadcast(shapes), "cube_id")  # a row a cube
     df = df.withColumn("patch_line", F.explode(origins("line", ph, sh, "np"))).withColumn("patch_col", F.explode(origins("col", pw, sw, "mp")))
     return df.select("cube_id", "patch_line", "patch_col", "row_id", (F.col("line") - F.col("patch_line") * sh).alias("i"), (F.col("col") - F.col("patch_col") * sw).alias("j"))
+
+
+def patch_arrays(ds: Dataset, patch=(32, 32), stride=(16, 16), use_z: bool | None = None) -> DataFrame:
+    """(cube_id, patch_line, patch_col, x, labels): the samples of each patch as [line][column][value], and their labels.
+
+    A group is one patch, so its size is that of the patch whatever the cube's.
+    """
+    ph, pw = patch
+    found = spatial_patches(ds, patch, stride).join(ds.df.select("row_id", F.col(ds.data_column(use_z)).alias("data"), "label"), "row_id")
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", "data", "label")))
+    grouped = found.groupBy("cube_id", "patch_line", "patch_col").agg(cells.alias("cells"))
+
+    def lines(field: str):
+        return F.transform(F.sequence(F.lit(0), F.lit(ph - 1)), lambda i: F.transform(F.slice("cells", i * pw + 1, F.lit(pw)), lambda c: c[field]))
+
+    labels = F.lit(None).cast("array<array<tinyint>>") if ds.unsupervised else lines("label")
+    return grouped.select("cube_id", "patch_line", "patch_col", lines("data").alias("x"), labels.alias("labels"))
+
+
+def patch_batches(ds: Dataset, patch=(32, 32), stride=(16, 16), use_z: bool | None = None, shuffle: bool = True, seed: int = 0) -> Iterator[tuple]:
+    """(X, y) of one patch at a time, (ph, pw, F) and (ph, pw), or (X,) if unsupervised."""
+    found = patch_arrays(ds, patch, stride, use_z)
+    place = F.concat_ws(":", "cube_id", "patch_line", "patch_col")
+    by = [L.seeded(seed, "place")] if shuffle else []
+    for r in found.withColumn("place", place).orderBy(*by, "cube_id", "patch_line", "patch_col").toLocalIterator():
+        x = np.array(r.x, np.float32)
+        yield (x,) if ds.unsupervised else (x, np.array(r.labels, np.int8))
