@@ -1,4 +1,4 @@
-"""Parquet stores of scans and datasets, a synthetic generator, and optional HDF5.
+"""Parquet stores of scans and datasets, and a synthetic generator.
 
 A scan is a folder with ``ascans`` (Parquet) and ``header`` (one JSON row); a
 dataset has ``samples`` and ``cubes``.  Reading is lazy, and filters on lines or
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import warnings
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from sonogrid.model import Header, Scan
 from sonogrid.operators.dataset import Dataset
 
 FORMAT_VERSION = 1
+CODEC = "zstd"
+BLOCK_BYTES = 16 << 20
 ASCANS = "scan_idx int, line int, col int, start int, label tinyint, signal array<tinyint>"
 
 
@@ -30,8 +33,13 @@ def from_rows(spark: SparkSession, signals, header: Header, labels=None, starts=
     return Scan(spark.createDataFrame(rows, ASCANS), header, tuple(names)).validate()
 
 
-def write_scan(scan: Scan, path: str) -> None:
-    scan.df.select("scan_idx", "line", "col", "start", "label", "signal").write.mode("overwrite").parquet(f"{path}/ascans")
+def _writer(df: DataFrame, codec: str, block_bytes: int):
+    """Parquet with a codec and a size of row groups, the unit that readers skip or load."""
+    return df.write.mode("overwrite").option("compression", codec).option("parquet.block.size", block_bytes)
+
+
+def write_scan(scan: Scan, path: str, codec: str = CODEC, block_bytes: int = BLOCK_BYTES) -> None:
+    _writer(scan.df.select("scan_idx", "line", "col", "start", "label", "signal"), codec, block_bytes).parquet(f"{path}/ascans")
     meta = {"version": FORMAT_VERSION, "header": scan.header.to_json(), "label_names": json.dumps(list(scan.label_names))}
     scan.spark.createDataFrame([meta], "version int, header string, label_names string").coalesce(1).write.mode("overwrite").parquet(f"{path}/header")
 
@@ -51,29 +59,39 @@ def read_scan(spark: SparkSession, path: str, first: int | None = None, count: i
         if first < 0 or count < 0 or first + count > header.nlines * header.scanspline:
             raise ValueError("rows out of range")
         df = df.where((F.col("scan_idx") >= first) & (F.col("scan_idx") < first + count))
-    return Scan(df, header, tuple(json.loads(meta.label_names)))
+    return Scan(df, header, tuple(json.loads(meta.label_names)), path)
 
 
-def write_dataset(ds: Dataset, path: str) -> None:
-    ds.df.write.mode("overwrite").parquet(f"{path}/samples")
-    rows = [(FORMAT_VERSION, c, h.to_json(), json.dumps(list(ds.label_names)), ds.maxlen, ds.unsupervised) for c, h in enumerate(ds.headers)]
-    cubes = ds.df.sparkSession.createDataFrame(rows, "version int, cube_id int, header string, label_names string, maxlen int, unsupervised boolean")
+def write_dataset(ds: Dataset, path: str, codec: str = CODEC, block_bytes: int = BLOCK_BYTES) -> None:
+    """Samples with features and extra vectors if there are any; splits are not stored."""
+    _writer(ds.df.drop("split"), codec, block_bytes).parquet(f"{path}/samples")
+    rows = [(FORMAT_VERSION, c, h.to_json(), json.dumps(list(ds.label_names)), ds.maxlen, ds.unsupervised, ds.num_features) for c, h in enumerate(ds.headers)]
+    cubes = ds.df.sparkSession.createDataFrame(rows, "version int, cube_id int, header string, label_names string, maxlen int, unsupervised boolean, num_features int")
     cubes.coalesce(1).write.mode("overwrite").parquet(f"{path}/cubes")
 
 
 def read_dataset(spark: SparkSession, path: str) -> Dataset:
-    """A dataset; its padding value is 0 again."""
+    """A dataset; its padding value is 0 again.  Stored labels of an unsupervised one are not read."""
     cubes = spark.read.parquet(f"{path}/cubes").orderBy("cube_id").collect()
     _version(cubes[0].version)
     headers = tuple(Header.from_json(c.header) for c in cubes)
-    return Dataset(spark.read.parquet(f"{path}/samples"), headers, tuple(json.loads(cubes[0].label_names)), cubes[0].maxlen, cubes[0].unsupervised)
+    df, names = spark.read.parquet(f"{path}/samples"), tuple(json.loads(cubes[0].label_names))
+    if cubes[0].unsupervised:
+        df, names = df.withColumn("label", F.lit(None).cast("tinyint")), ("healthy",)
+    return Dataset(df, headers, names, cubes[0].maxlen, cubes[0].unsupervised, num_features=cubes[0].num_features)
 
 
 def convert(spark: SparkSession, paths: list[str], out: str, pad_value: float = 0.0, unsupervised: bool | None = None) -> Dataset:
-    """Pool stored scans into a stored dataset."""
+    """Pool stored scans into a stored dataset; labels are stored, merged by name, even if it is unsupervised."""
+    from sonogrid.operators import labels as L
     from sonogrid.operators.dataset import pool
 
-    write_dataset(pool([read_scan(spark, p) for p in paths], pad_value, unsupervised), out)
+    scans = [read_scan(spark, p) for p in paths]
+    ds = pool(scans, pad_value, unsupervised)
+    if ds.unsupervised and any(L.is_labeled(s.df) for s in scans):
+        kept = pool(scans, pad_value, unsupervised, keep_labels=True)
+        ds = replace(ds, df=kept.df, label_names=kept.label_names)
+    write_dataset(ds, out)
     return read_dataset(spark, out)
 
 
@@ -96,23 +114,6 @@ def synthetic(spark: SparkSession, header: Header, seed: int = 42, noise: float
     return Scan(df, header)
 
 
-def read_h5(spark: SparkSession, path: str) -> Scan:
-    """A cube file in HDF5, one driver read; needs h5py."""
-    try:
-        import h5py
-    except ImportError as e:
-        raise RuntimeError("reading HDF5 needs h5py; the native store is Parquet") from e
-    if not path.lower().endswith(".h5sam"):
-        raise ValueError("unknown file kind")
-    with h5py.File(path) as f:
-        known = {k: v.item() if hasattr(v, "item") else v for k, v in f["header"].attrs.items() if k not in ("headerlen", "bytes_p_sample", "version")}
-        header = Header.from_json(json.dumps(known, default=str))
-        labels = f["labels"][:] if "labels" in f else None
-        names = [n.decode() for n in f["label_names"][:]] if "label_names" in f else ["healthy"]
-        starts = f["starts"][:] if "starts" in f else None
-        return from_rows(spark, f["data"][:], header, labels, starts, names)
-
-
 def to_numpy(df: DataFrame, column: str, order: str):
     """An array column as a matrix on the driver, in the given order."""
     import numpy as np
