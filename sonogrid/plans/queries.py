@@ -1,7 +1,8 @@
 """One query an operator over the canonical cube, and its SQL.
 
 Outputs are long and rounded alike on both sides.  The SQL side says filters and
-spectra as explicit sums, independent of the kernels.
+spectra as explicit sums; their weights are worked out in this module from the
+textbook forms, not taken from the kernels.
 """
 
 from __future__ import annotations
@@ -122,9 +123,15 @@ def _time(spark, d):
 
 @query("sample_index", f"WITH {SQL_CUBE} SELECT scan_idx, round_even((1000 + scan_idx * 3.7::DOUBLE - 1000) / 10, 0)::INT AS idx FROM cube")
 def _sample_index(spark, d):
-    h = canonical(spark, d).header
+    scan = canonical(spark, d)
     t = F.lit(1000) + F.col("scan_idx") * F.lit(3.7)
-    return canonical(spark, d).df.select("scan_idx", F.rint((t - h.tzero) / h.spacing).cast("int").alias("idx"))
+    return scan.df.select("scan_idx", exprs.sample_index(t, scan.header).alias("idx"))
+
+
+@query("sample_time", f"WITH {SQL_CUBE} SELECT scan_idx, 1000 + scan_idx * 10.0::DOUBLE AS t FROM cube")
+def _sample_time(spark, d):
+    scan = canonical(spark, d)
+    return scan.df.select("scan_idx", exprs.sample_time(F.col("scan_idx"), scan.header).alias("t"))
 
 
 # --- downsampling -----------------------------------------------------------------------------------------------
@@ -143,16 +150,63 @@ def _linear(matrix: np.ndarray, table: str = "long") -> str:
     return f"m AS (SELECT unnest(range({rows * n})) AS k, unnest({flat}) AS w), o AS (SELECT scan_idx, (k // {n})::INT AS o, sum(w * v) AS v FROM {table} JOIN m ON k % {n} = i WHERE w <> 0 GROUP BY ALL)"
 
 
-def _unit_responses(kernel, n: int = 64) -> np.ndarray:
-    """The matrix of a linear kernel."""
-    return kernel(np.eye(n)).T
+def _bilinear(zeros: int, poles, gain_at: float = 0.0):
+    """(b, a) in powers of 1/z of an analogue filter of ``zeros`` zeros at 0 and given poles, gain one at an angle; s = (1 - 1/z) / (1 + 1/z)."""
+    minus, plus = np.array([1.0, -1.0]), np.array([1.0, 1.0])
+    b, a = np.array([1.0 + 0j]), np.array([1.0 + 0j])
+    for _ in range(zeros):
+        b = np.convolve(b, minus)
+    for p in poles:
+        a = np.convolve(a, minus - p * plus)
+    for _ in range(len(poles) - zeros):
+        b = np.convolve(b, plus)
+    z = np.exp(-1j * gain_at * np.arange(len(a)))
+    b = b / abs((b * z).sum() / (a * z).sum())
+    return (b / a[0]).real, (a / a[0]).real
+
+
+#: order three: the cube roots of -1 but for the right half plane
+_BUTTER3 = [-1.0, complex(-0.5, math.sqrt(0.75)), complex(-0.5, -math.sqrt(0.75))]
+
+
+def _lowpass3(cutoff: float, fs: float):
+    return _bilinear(0, [p * math.tan(math.pi * cutoff / fs) for p in _BUTTER3])
+
+
+def _bandpass3(low: float, high: float, fs: float):
+    lo, hi = (math.tan(math.pi * f / fs) for f in (low, high))
+    pairs = [np.roots([1, -p * (hi - lo), lo * hi]) for p in _BUTTER3]
+    return _bilinear(3, np.concatenate(pairs), 2 * math.atan(math.sqrt(lo * hi)))
+
 
+def _chebyshev8(cutoff: float, ripple: float = 0.05):
+    """Type one of order eight; the gain at zero is the ripple's floor, as the order is even."""
+    spread = math.asinh(1 / math.sqrt(10 ** (ripple / 10) - 1)) / 8
+    angles = [math.pi * (2 * k + 1) / 16 for k in range(8)]
+    b, a = _bilinear(0, [complex(-math.sinh(spread) * math.sin(t), math.cosh(spread) * math.cos(t)) * math.tan(math.pi * cutoff / 2) for t in angles])
+    return b * 10 ** (-ripple / 20), a
 
-@query("downsample_decimate", f"WITH {SQL_LONG}, {_linear(_unit_responses(lambda x: kernels.decimate(x, 4)))} SELECT scan_idx, o AS i, trunc(greatest(-128, least(127, round(v, 6))))::INT AS v FROM o")
+
+def _recursion(b, a, x):
+    """Plain difference equation over columns, from rest."""
+    y = np.zeros_like(x)
+    for i in range(len(x)):
+        y[i] = sum(b[k] * x[i - k] for k in range(min(i + 1, len(b)))) - sum(a[k] * y[i - k] for k in range(1, min(i + 1, len(a))))
+    return y
+
+
+def _there_and_back(b, a, edge: int, n: int = 64, lead: int = 1000) -> np.ndarray:
+    """Matrix of zero-phase filtering: odd reflection by ``edge``, and constants for so long that the filter is at rest."""
+    x = np.eye(n)
+    wide = np.vstack([2 * x[:1] - x[edge:0:-1], x, 2 * x[-1:] - x[-2 : -edge - 2 : -1]])
+    for _ in range(2):
+        wide = _recursion(b, a, np.vstack([np.repeat(wide[:1], lead, axis=0), wide]))[lead:][::-1]
+    return wide[edge : edge + n]
+
+
+@query("downsample_decimate", f"WITH {SQL_LONG}, {_linear(_there_and_back(*_chebyshev8(0.8 / 4), 27)[::4])} SELECT scan_idx, o AS i, trunc(greatest(-128, least(127, v)))::INT AS v FROM o")
 def _decimate(spark, d):
-    scan = canonical(spark, d)
-    run = lambda x: np.trunc(np.clip(np.round(kernels.decimate(x, 4), 6), -128, 127))
-    return long(with_kernel(scan.df.select("scan_idx", "signal"), 64, run, {"x": ("int", 1)}), "x", digits=None).withColumn("v", F.col("v").cast("int"))
+    return _signal_long(spatial.downsample(canonical(spark, d), 4, "decimate"))
 
 
 # --- normalising, detrending, smoothing ---------------------------------------------------------------------------
@@ -181,19 +235,20 @@ def _moving(spark, d):
 
 @query("medfilt", f"WITH {SQL_LONG}, n AS (SELECT a.scan_idx, a.i, b.v FROM long a CROSS JOIN range(-2, 3) t(o) JOIN long b ON b.scan_idx = a.scan_idx AND b.i = CASE WHEN a.i + o < 0 THEN -(a.i + o) WHEN a.i + o > 63 THEN 126 - a.i - o ELSE a.i + o END) SELECT scan_idx, i, median(v) AS v FROM n GROUP BY ALL")
 def _medfilt(spark, d):
-    return long(canonical(spark, d).df.withColumn("x", exprs.medfilt(F.col("signal"), 64, 5)), "x", digits=None)
-
-
-def _savgol_matrix() -> np.ndarray:
-    """Window 5, order 2, from the published integer weights of the centre and a fit at the ends."""
-    m = np.zeros((64, 64))
-    for i in range(2, 62):
-        m[i, i - 2 : i + 3] = np.array([-3, 12, 17, 12, -3]) / 35
-    for k in range(5):
-        unit = np.eye(5)[k]
-        fit = np.polyfit(np.arange(5), unit, 2)
-        m[:2, k] = np.polyval(fit, [0, 1])
-        m[62:, 59 + k] = np.polyval(fit, [3, 4])
+    df = canonical(spark, d).df.select("scan_idx", F.col("signal").alias("x"))
+    return long(imaging.preprocess(df, 64, [("medfilt", {"kernel_size": 5})])[0], "x", digits=None)
+
+
+def _savgol_matrix(window: int = 5, order: int = 2, n: int = 64) -> np.ndarray:
+    """Running fits of unit impulses, their weights in reverse; fits of the first and last window at the ends."""
+    half = window // 2
+    fits = [np.polyval(np.polyfit(np.arange(window), unit, order), np.arange(window)) for unit in np.eye(window)]
+    m = np.zeros((n, n))
+    for k in range(window):
+        for i in range(half, n - half):
+            m[i, i - half + window - 1 - k] = fits[k][half]
+        m[:half, k] = fits[k][:half]
+        m[n - half :, n - window + k] = fits[k][window - half :]
     return m
 
 
@@ -215,9 +270,22 @@ def _impulse(b, a, n: int = 64) -> np.ndarray:
 
 
 _kernel_query("savgol", _savgol_matrix(), [("savgol", {})])
-_kernel_query("lp", _impulse(*kernels.butter_lowpass(10.0, 100.0)), [("lp", {"cutoff": 10.0, "fs": 100.0})])
-_kernel_query("bp", _impulse(*kernels.butter_bandpass(5.0, 20.0, 100.0)), [("bp", {"lo": 5.0, "hi": 20.0, "fs": 100.0})])
-_kernel_query("preprocess_chain", _savgol_matrix() @ _impulse(*kernels.butter_lowpass(10.0, 100.0)), [("lp", {"cutoff": 10.0, "fs": 100.0}), ("savgol", {})])
+_kernel_query("savgol_even", _savgol_matrix(6, 3), [("savgol", {"window_length": 6, "polyorder": 3})])
+_kernel_query("lp", _impulse(*_lowpass3(10.0, 100.0)), [("lp", {"cutoff": 10.0, "fs": 100.0})])
+_kernel_query("bp", _impulse(*_bandpass3(5.0, 20.0, 100.0)), [("bp", {"lo": 5.0, "hi": 20.0, "fs": 100.0})])
+_kernel_query("preprocess_chain", _savgol_matrix() @ _impulse(*_lowpass3(10.0, 100.0)), [("lp", {"cutoff": 10.0, "fs": 100.0}), ("savgol", {})])
+
+
+def _direct_query(name: str, sql_matrix, kernel):
+    sql = f"WITH {SQL_LONG}, {_linear(sql_matrix)} SELECT scan_idx, o AS i, round(v, 4) + 0.0 AS v FROM o"
+
+    @query(name, sql)
+    def _run(spark, d):
+        return long(with_kernel(canonical(spark, d).df.select("scan_idx", "signal"), 64, kernel, {"x": ("double", 1)}), "x")
+
+
+_direct_query("filtfilt", _there_and_back(*_lowpass3(10.0, 100.0), 12), lambda x: kernels.filtfilt(*kernels.butter_lowpass(10.0, 100.0), x))
+_direct_query("irfft", np.eye(64), lambda x: kernels.irfft(np.fft.rfft(x, axis=1), 64))
 
 # --- Hilbert family -----------------------------------------------------------------------------------------------
 # the imaginary part is a circular convolution with (2 / n) / tan(pi m / n) at odd m
@@ -249,22 +317,23 @@ def _tof_sql(tail: str, lo: int = 4, hi: int = 60) -> str:
 t AS (SELECT scan_idx, i + CASE WHEN y0 IS NULL OR y2 IS NULL THEN 0 ELSE greatest(-0.5, least(0.5, 0.5 * (y0 - y2) / (y0 - 2 * env + y2))) END AS pos FROM g WHERE r = 1) {tail}"""
 
 
-@query("tof", _tof_sql("SELECT scan_idx, round(1000 + pos * 10, 2) AS tof FROM t"))
+@query("tof", _tof_sql("SELECT scan_idx, round((1000 + pos * 10)::FLOAT::DOUBLE, 2) AS tof FROM t"))
 def _tof(spark, d):
-    scan = canonical(spark, d)
-    return imaging.peak_positions(scan, 4, 60).select("scan_idx", F.round(F.when(F.col("pos") < 0, F.lit(-1.0)).otherwise(F.lit(float(scan.header.tzero)) + F.col("pos") * scan.header.spacing), 2).alias("tof"))
+    return imaging.tof(canonical(spark, d), 4, 60).select("scan_idx", F.round(F.col("tof").cast("double"), 2).alias("tof"))
 
 
-@query("thickness", _tof_sql("SELECT scan_idx, round((1000 + pos * 10) * 1500e-9 / 2 * 1e6, 1) AS um FROM t"))
+@query("thickness", _tof_sql("SELECT scan_idx, round(((1000 + pos * 10)::FLOAT * (1500e-9 / 2)::FLOAT)::DOUBLE * 1e6, 1) AS um FROM t"))
 def _thickness(spark, d):
-    scan = canonical(spark, d)
-    ns = F.lit(float(scan.header.tzero)) + F.col("pos") * scan.header.spacing
-    return imaging.peak_positions(scan, 4, 60).select("scan_idx", F.round(ns * 1500e-9 / 2 * 1e6, 1).alias("um"))
+    return imaging.thickness(canonical(spark, d), 1500.0, 4, 60).select("scan_idx", F.round(F.col("thickness").cast("double") * 1e6, 1).alias("um"))
 
 
-@query("tof_edge")
+# silent: no peak; else the first of the largest values, and no refinement at the ends of the gate
+@query("tof_edge", f"""WITH {SQL_EDGE}, long AS (SELECT scan_idx, unnest(range(64))::INT AS i, unnest(s)::DOUBLE AS v FROM edge), {_linear(_HILBERT)},
+e AS (SELECT long.scan_idx, long.i, round(sqrt(long.v * long.v + coalesce(o.v, 0) * coalesce(o.v, 0)), 9) AS env FROM long LEFT JOIN o ON long.scan_idx = o.scan_idx AND long.i = o.o),
+g AS (SELECT scan_idx, i, env, lag(env) OVER w AS y0, lead(env) OVER w AS y2, row_number() OVER (PARTITION BY scan_idx ORDER BY env DESC, i) AS r FROM e WHERE i >= 2 AND i < 62 WINDOW w AS (PARTITION BY scan_idx ORDER BY i))
+SELECT scan_idx, CASE WHEN env = 0 THEN -1.0::DOUBLE ELSE round(1000 + 10 * (i + CASE WHEN y0 IS NULL OR y2 IS NULL OR y0 - 2 * env + y2 = 0 THEN 0 ELSE greatest(-0.5, least(0.5, 0.5 * (y0 - y2) / (y0 - 2 * env + y2))) END), 2) END AS tof FROM g WHERE r = 1""")
 def _tof_edge(spark, d):
-    return imaging.tof(edge(spark))
+    return imaging.tof(edge(spark), 2, 62).select("scan_idx", F.round(F.col("tof").cast("double"), 2).alias("tof"))
 
 
 # --- statistics ---------------------------------------------------------------------------------------------------
@@ -289,7 +358,8 @@ def _spectrum(spark, d):
     return long(imaging.spectrum(canonical(spark, d), "double")[1], "spectrum")
 
 
-_W2 = float((kernels.hann(16) ** 2).sum())
+#: the sum of squares of a periodic Hann window of n is 3 n / 8
+_W2 = 3 * 16 / 8
 _FRAMES = f"""WITH {SQL_LONG}, f AS (SELECT scan_idx, t.t::INT AS t, (i - t * 8)::INT AS j, v * (0.5 - 0.5 * cos(2 * pi() * (i - t * 8) / 16)) AS x FROM long JOIN range(7) t(t) ON i >= t * 8 AND i < t * 8 + 16),
 m AS ({_dft_sql(16)}), z AS (SELECT scan_idx, t, (q // 16)::INT AS k, sum(x * c) AS re, sum(x * d) AS im FROM f JOIN m ON q % 16 = j GROUP BY ALL),
 p AS (SELECT *, (re * re + im * im) / ({HZ}::DOUBLE * {_W2!r}::DOUBLE) * CASE WHEN k > 0 AND k < 8 THEN 2 ELSE 1 END * 1e6::DOUBLE AS p FROM z)"""
@@ -489,21 +559,38 @@ def _relabel(spark, d):
     return _labelled(L.relabel(canonical(spark, d).df, NAMES, {1: "DEFECT_2", "defect_8": 0, -1: 3, "Defect_5": "Crack"}))
 
 
-@query("merge_labels", f"""WITH {SQL_CUBE}, u AS (SELECT 0 AS part, scan_idx, {_NAME} AS name FROM cube UNION ALL SELECT 1, scan_idx, CASE WHEN label = 3 THEN 'Void' ELSE {_NAME} END FROM cube WHERE scan_idx < 100)
+@query("merge_labels", f"""WITH {SQL_CUBE}, u AS (SELECT 0 AS part, scan_idx, {_NAME} AS name FROM cube UNION ALL SELECT 1, scan_idx, CASE WHEN label = 3 THEN 'Void' ELSE {_NAME} END FROM cube)
 SELECT part, scan_idx, name FROM u""")
 def _merge(spark, d):
     a = canonical(spark, d).df.withColumn("part", F.lit(0))
     names = tuple("Void" if n == "Defect_3" else n.upper() if n != "healthy" else n for n in NAMES)
-    df, joint = L.merge([(a, NAMES), (a.where("scan_idx < 100").withColumn("part", F.lit(1)), names)])
+    df, joint = L.merge([(a, NAMES), (a.withColumn("part", F.lit(1)), names)])
     known = F.create_map(*[x for v in range(-1, len(joint)) for x in (F.lit(v), F.lit(L.label_name(v, joint)))])
     return df.select("part", "scan_idx", F.try_element_at(known, F.col("label").cast("int")).alias("name"))
 
 
-@query("stratified_split", f"WITH {SQL_CUBE}, n AS (SELECT label, count(*) AS n FROM cube GROUP BY 1) SELECT label, greatest(1, floor(n * 0.2::DOUBLE))::BIGINT AS test, n - greatest(1, floor(n * 0.2::DOUBLE))::BIGINT AS train FROM n")
+def _order_sql(seed: int, key: str) -> str:
+    return f"substr(md5('{seed}:' || {key}), 1, 15), {key}"
+
+
+@query("stratified_split", f"""WITH {SQL_CUBE}, r AS (SELECT scan_idx, row_number() OVER (PARTITION BY label ORDER BY {_order_sql(7, "scan_idx")}) AS r, count(*) OVER (PARTITION BY label) AS n FROM cube)
+SELECT scan_idx, CASE WHEN r <= greatest(1, floor(n * 0.2::DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM r""")
 def _stratified(spark, d):
-    split = L.stratified_split(canonical(spark, d).df, 0.2, 7)
-    counts = [F.count(F.when(F.col("split") == s, 1)).alias(s) for s in ("test", "train")]
-    return split.groupBy(F.col("label").cast("int").alias("label")).agg(*counts)
+    return L.stratified_split(canonical(spark, d).df, 0.2, 7).select("scan_idx", "split")
+
+
+@query("labels_take", f"WITH {SQL_CUBE}, w AS (SELECT unnest(range(5))::BIGINT AS pos, unnest([7, 3, 7, 0, 19])::INT AS scan_idx) SELECT pos, scan_idx, label FROM w JOIN cube USING (scan_idx)")
+def _take(spark, d):
+    got = L.take(canonical(spark, d).df, [7, 3, 7, 0, 19])
+    return got.select("pos", F.col("scan_idx").cast("int").alias("scan_idx"), F.col("label").cast("int").alias("label"))
+
+
+@query("set_labels", f"WITH {SQL_CUBE} SELECT scan_idx, scan_idx % 3 - 1 AS label, CASE scan_idx % 3 WHEN 0 THEN 'unlabeled' WHEN 1 THEN 'healthy' ELSE 'Void' END AS name, list_sum(s)::INT AS total FROM cube")
+def _set_labels(spark, d):
+    scan = sized(spark, d)
+    done = L.set_labels(scan, scan.df.select("scan_idx", (F.col("scan_idx") % 3 - 1).alias("label")), ("healthy", "Void"))
+    total = F.aggregate("signal", F.lit(0), lambda a, v: a + v.cast("int")).alias("total")
+    return _labelled((done.df, done.label_names)).join(done.df.select("scan_idx", total), "scan_idx")
 
 
 # --- datasets -----------------------------------------------------------------------------------------------------------
@@ -535,13 +622,14 @@ def _extract(spark, d):
     return dataset.cube_data(_pool(spark, d), 1).select("line", "col", F.col("label").cast("int").alias("label"), total)
 
 
-def _split_counts(ds, *keys):
-    return ds.df.groupBy(*[F.col(k).cast("int").alias(k) for k in keys], "split").agg(F.count("*").alias("n"))
+def _split_of(ds):
+    return ds.df.select("row_id", "split")
 
 
-@query("train_test_split", f"{_POOL}, n AS (SELECT count(*) AS n, floor(count(*) * 0.7::DOUBLE)::BIGINT AS k FROM pool) SELECT 'train' AS split, k AS n FROM n UNION ALL SELECT 'test', n - k FROM n")
+@query("train_test_split", f"""{_POOL}, r AS (SELECT row_id, row_number() OVER (ORDER BY {_order_sql(11, "row_id")}) AS r, count(*) OVER () AS n FROM pool)
+SELECT row_id, CASE WHEN r <= floor(n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM r""")
 def _split(spark, d):
-    return _split_counts(dataset.train_test_split(_pool(spark, d), 0.3, 11))
+    return _split_of(dataset.train_test_split(_pool(spark, d), 0.3, 11))
 
 
 @query("train_test_split_ordered", f"{_POOL} SELECT row_id, CASE WHEN row_id < floor((SELECT count(*) FROM pool) * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM pool")
@@ -549,14 +637,25 @@ def _split_ordered(spark, d):
     return dataset.train_test_split(_pool(spark, d), 0.3, shuffle=False).df.select("row_id", "split")
 
 
-@query("split_by_cube", f"{_POOL}, n AS (SELECT cube_id, count(*) AS n FROM pool GROUP BY 1) SELECT cube_id, 'test' AS split, floor(n * 0.25)::BIGINT AS n FROM n UNION ALL SELECT cube_id, 'train', n - floor(n * 0.25)::BIGINT FROM n")
+def _group_split_sql(by: str, share: str) -> str:
+    return f"""{_POOL}, r AS (SELECT row_id, row_number() OVER (PARTITION BY {by} ORDER BY {_order_sql(1, "row_id")}) AS r, count(*) OVER (PARTITION BY {by}) AS n FROM pool)
+SELECT row_id, CASE WHEN r <= greatest(1, floor(n * {share}::DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM r"""
+
+
+@query("split_by_cube", _group_split_sql("cube_id", "0.25"))
 def _by_cube(spark, d):
-    return _split_counts(dataset.stratified_split_by_cube(_pool(spark, d), 0.25, 1), "cube_id")
+    return _split_of(dataset.stratified_split_by_cube(_pool(spark, d), 0.25, 1))
 
 
-@query("stratified_train_test_split", f"{_POOL}, n AS (SELECT label, count(*) AS n FROM pool GROUP BY 1), k AS (SELECT label, n, greatest(1, floor(n * 0.2::DOUBLE))::BIGINT AS k FROM n) SELECT label, 'test' AS split, k AS n FROM k UNION ALL SELECT label, 'train', n - k FROM k")
+@query("stratified_train_test_split", _group_split_sql("label", "0.2"))
 def _stratified_pool(spark, d):
-    return _split_counts(dataset.stratified_train_test_split(_pool(spark, d), 0.2, 1), "label")
+    return _split_of(dataset.stratified_train_test_split(_pool(spark, d), 0.2, 1))
+
+
+@query("split_by_label_share", f"""{_POOL}, r AS (SELECT row_id, row_number() OVER (ORDER BY {_order_sql(1, "row_id")}) AS r, count(*) OVER () AS c FROM pool WHERE label = 3)
+SELECT row_id, CASE WHEN r <= greatest(1, floor(c * 0.4::DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM pool LEFT JOIN r USING (row_id)""")
+def _by_label_share(spark, d):
+    return _split_of(dataset.split_by_label(_pool(spark, d), 3, 0.4, 1))
 
 
 @query("split_by_label", f"{_POOL} SELECT row_id, CASE WHEN label = 2 THEN 'test' ELSE 'train' END AS split FROM pool")
@@ -575,6 +674,22 @@ def _patches(spark, d):
     return dataset.spatial_patches(_pool(spark, d, unsupervised=True), (8, 8), (4, 4))
 
 
+@query("patch_arrays", f"""{_POOL}, h AS (SELECT count(*) // 20 AS nl FROM cube), o AS (SELECT c.c::INT AS cube_id, a.a::INT AS patch_line, b.b::INT AS patch_col FROM h, range(2) c(c), range(100000) a(a), range(5) b(b) WHERE a.a < greatest(0, (nl - 8) // 8 + 1) AND b.b < (20 - 8) // 8 + 1)
+SELECT o.cube_id, patch_line, patch_col, (line - patch_line * 8)::INT AS i, (col - patch_col * 8)::INT AS j, label, list_sum(s[1:n])::DOUBLE AS total FROM o JOIN pool p ON p.cube_id = o.cube_id AND line BETWEEN patch_line * 8 AND patch_line * 8 + 7 AND col BETWEEN patch_col * 8 AND patch_col * 8 + 7""")
+def _patch_arrays(spark, d):
+    got = dataset.patch_arrays(_pool(spark, d), (8, 8), (8, 8))
+    lines = got.select("cube_id", "patch_line", "patch_col", F.posexplode(F.arrays_zip("x", "labels")).alias("i", "row"))
+    cells = lines.select("cube_id", "patch_line", "patch_col", "i", F.posexplode(F.arrays_zip(F.col("row.x").alias("x"), F.col("row.labels").alias("label"))).alias("j", "cell"))
+    total = F.aggregate("cell.x", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total")
+    return cells.select("cube_id", "patch_line", "patch_col", "i", "j", F.col("cell.label").cast("int").alias("label"), total)
+
+
+@query("dataset_rows", f"{_POOL}, w AS (SELECT unnest(range(4))::BIGINT AS pos, unnest([9, 501, 9, 2])::BIGINT AS row_id) SELECT pos, row_id, list_sum(s[1:n])::DOUBLE AS total FROM w JOIN pool USING (row_id)")
+def _dataset_rows(spark, d):
+    got = dataset.read_rows(_pool(spark, d), [9, 501, 9, 2])
+    return got.select("pos", "row_id", F.aggregate("data", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total"))
+
+
 @query("transform", f"{_POOL} SELECT row_id, list_max(CASE WHEN n < 64 THEN list_append(s[1:48], 0) ELSE s END)::DOUBLE AS top FROM pool")
 def _transform(spark, d):
     ds = _pool(spark, d, unsupervised=True).transform(lambda x: x.max(axis=1))
