@@ -258,7 +258,7 @@ def _hot(tokens: DataFrame, n_texts: int) -> DataFrame:
 
 
 def _prefixes(tokens: DataFrame, hot: DataFrame, num: int, den: int) -> DataFrame:
-    """(token, doc_id, n, l, place, rank, alone): the postings of the chosen prefixes in lists of two or more.
+    """(token, doc_id, n, l, place, rank, alone, len): the postings of the chosen prefixes in lists of ``len`` two or more.
 
     ``alone`` is the share of a text's tokens of which it is known that no other text has them.
     """
@@ -279,14 +279,37 @@ def _prefixes(tokens: DataFrame, hot: DataFrame, num: int, den: int) -> DataFram
     chosen = chosen.withColumn("alone", F.expr("cast((listed - shared) / n as float)"))
     lists = written(chosen.select("token", "doc_id", "n", "l", "place", "rank", "alone").dropDuplicates(["token", "doc_id"]))
     # counted before the shuffle, so a long list never meets in one task
-    met_again = lists.groupBy("token").agg(F.count(F.lit(1)).alias("len")).where("len > 1").select("token")
-    return written(lists.join(met_again, "token", "left_semi").select(*lists.columns))
+    met_again = lists.groupBy("token").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
+    return written(lists.join(met_again, "token").select(*lists.columns, "len"))
+
+
+def _by_size(small: DataFrame) -> DataFrame:
+    """A written table for a join: broadcast while it has at most MAX_BROADCAST_IDS rows."""
+    return F.broadcast(small) if small.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else small
+
+
+def _classed(lists: DataFrame, merged: DataFrame | None) -> DataFrame:
+    """The postings with ``c``, a number of the text's class.
+
+    Not all of a class need have one number yet: then some of its pairs are verified in vain.
+    """
+    if merged is None:
+        return lists.withColumn("c", F.col("doc_id"))
+    least = written(merged.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("least")))
+    return lists.join(_by_size(least), "doc_id", "left").withColumn("c", F.coalesce("least", "doc_id")).drop("least")
+
+
+def _mixed(marked: DataFrame) -> DataFrame:
+    """(token, len, same): the lists of several classes, with the sum of the squares of the classes' sizes."""
+    by_class = marked.groupBy("token", "c").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    by_token = by_class.groupBy("token").agg(F.sum("k").alias("len"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    return written(by_token.where("len * len > same"))
 
 
 def _star_pairs(marked: DataFrame, mixed: DataFrame, maps: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """Distinct (a, b): the texts of each long list, or of each part of it, against its most central one if of another class, by the size and bitmap bounds."""
-    parts = mixed.where(f"len >= {LONG}").select("token", F.expr(f"cast(ceil(len / {PART}) as int)" if turn else "1").alias("parts"))
-    dealt = marked.join(parts, "token").withColumn("part", F.expr(f"pmod(xxhash64(doc_id, token, {turn}), parts)"))
+    parts = mixed.select("token", F.expr(f"cast(ceil(len / {PART}) as int)" if turn else "1").alias("parts"))
+    dealt = marked.join(_by_size(parts), "token").withColumn("part", F.expr(f"pmod(xxhash64(doc_id, token, {turn}), parts)"))
     central = F.min(F.struct("alone", F.xxhash64("doc_id", F.lit(turn)).alias("draw"), "doc_id", "n", "c"))
     met = dealt.join(dealt.groupBy("token", "part").agg(central.alias("hub")), ["token", "part"]).where("c <> hub.c")
     met = met.where(f"{den}L * least(n, hub.n) >= {num}L * greatest(n, hub.n)")
@@ -300,7 +323,7 @@ def _star_pairs(marked: DataFrame, mixed: DataFrame, maps: DataFrame, turn: int,
 def _full_pairs(marked: DataFrame, mixed: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct (a, b) of different classes that share as many prefix tokens as their l asks for, by all bounds."""
     own = Window.partitionBy("doc_id").orderBy("place")
-    posted = marked.join(mixed.select("token", F.expr(f"cast(ceil(len / {BLOCK}) as int)").alias("blocks")), "token").withColumn("nth", F.row_number().over(own))
+    posted = marked.drop("len", "alone").join(mixed.select("token", F.expr(f"cast(ceil(len / {BLOCK}) as int)").alias("blocks")), "token").withColumn("nth", F.row_number().over(own))
     early = posted.where(F.col("nth") <= EARLY).groupBy("doc_id").agg(F.expr("transform(array_sort(collect_list(struct(nth, token))), x -> x.token)").alias("early"))
     small = maps.select("doc_id", *[f"b{i}" for i in range(MAP_WORDS)])
     spread = posted.join(early, "doc_id").join(small, "doc_id").withColumn("mine", F.expr("pmod(xxhash64(doc_id), blocks)").cast("int"))
@@ -349,26 +372,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     chosen = _chosen(docs, lists.select("doc_id").distinct())
     maps = written(chosen.mapInArrow(_bitmaps(k), f"doc_id long, n long, wide binary, {fields}").dropDuplicates(["doc_id"]))
 
-    merged, before = None, float("inf")
-    for turn in range(MAX_STARS + 1):
-        marked = lists.withColumn("c", F.col("doc_id"))
-        if merged is not None:
-            # not all of a class need have one number yet: then some of its pairs are verified in vain
-            least = merged.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("least"))
-            marked = lists.join(least, "doc_id", "left").withColumn("c", F.coalesce("least", "doc_id")).drop("least")
-        marked = written(marked)
-        by_class = marked.groupBy("token", "c").agg(F.count(F.lit(1)).cast("double").alias("k"))
-        by_token = by_class.groupBy("token").agg(F.sum("k").alias("len"), F.sum(F.col("k") * F.col("k")).alias("same"))
-        mixed = written(by_token.where("len * len > same"))
-        pairs = F.expr(f"if(len >= {LONG}, (len * len - same) / 2, 0D)")
-        size = mixed.agg(F.coalesce(F.sum("len"), F.lit(0.0)).alias("postings"), F.coalesce(F.sum(pairs), F.lit(0.0)).alias("pairs")).first()
-        if turn == MAX_STARS or size.pairs <= DIRECT * size.postings or turn > 1 and size.pairs > 0.9 * before:
+    merged, before, postings = None, float("inf"), lists.count()
+    longer = written(lists.where(f"len >= {LONG}"))
+    for turn in range(MAX_STARS):
+        marked = written(_classed(longer, merged))
+        mixed = _mixed(marked)
+        pairs = mixed.agg(F.coalesce(F.sum(F.expr("(len * len - same) / 2")), F.lit(0.0))).first()[0]
+        if pairs <= DIRECT * postings or turn > 1 and pairs > 0.9 * before:
             break
-        before = size.pairs
+        before = pairs
         merged = contracted(_verified(docs, maps, _star_pairs(marked, mixed, maps, turn, num, den), k, num, den), merged)
 
     links = None if merged is None else merged.toDF("a", "b")
-    if size.postings:
+    marked = written(_classed(lists, merged))
+    mixed = _mixed(marked)
+    if mixed.limit(1).count():
         found = _verified(docs, maps, _full_pairs(marked, mixed, maps, num, den), k, num, den)
         links = found if links is None else links.union(found)
     keyed = classes.withColumn("component", F.col("class_id"))
