@@ -1,8 +1,9 @@
 """Shared scratch space: written tables that cut lineage, and files that tasks exchange.
 
 Everything goes below ``spark.checkpoint.dir``, the folder that driver and
-executors share.  Where that is unset (tests, a laptop) a temporary folder of
-this machine is set, since there executors are threads of the driver.
+executors share, in a folder of the application that ``clear_scratch`` deletes.
+Where that is unset (tests, a laptop) a temporary folder of this machine is set,
+since there executors are threads of the driver.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared checkpoint folder (a URI or path)."""
+def _root(spark: SparkSession) -> str:
+    """This application's folder below the shared checkpoint folder (a URI or path)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir() or ""
@@ -23,7 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sonogrid-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/sonogrid/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/sonogrid/{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name in this application's folder."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that operators have written in this application; results not yet read or stored elsewhere go with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:

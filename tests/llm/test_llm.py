@@ -861,6 +861,17 @@ def test_warc_bounds_files_by_records(spark, monkeypatch):
     assert warc.write_archives(df).select("file").distinct().count() > 20
 
 
+def test_scratch_is_cleared(spark):
+    from sonogrid.llm import _store
+
+    kept = _store.written(spark.range(5))
+    assert kept.count() == 5 and _store.get_file(kept.inputFiles()[0])
+    folder = _store._root(spark)
+    _store.clear_scratch(spark)
+    system, path = _store.open_fs(folder)
+    assert system.get_file_info(path).type.name == "NotFound"
+
+
 def test_pipeline_edges(spark, tmp_path):
     """An empty table, and columns named as the operators' own."""
     import corpus_pipeline
