@@ -696,9 +696,16 @@ def _transform(spark, d):
     return ds.df.select("row_id", F.col("z")[0].cast("double").alias("top"))
 
 
-@query("synthetic_scan")
+# the noise is Box-Muller on a recursion modulo 2**31 - 1, the burst a windowed sine at the middle
+@query("synthetic_scan", """WITH n AS (SELECT s.s AS id, i.i AS i, k.k AS k, (s.s * 1000003 + i.i * 7919 + k.k * 104729 + 42 * 611953) % 2147483647 AS x FROM range(400) s(s), range(500) i(i), range(1, 3) k(k)),
+y AS (SELECT id, i, k, (((x * x + 12820163) % 2147483647) * 48271 + x) % 2147483647 AS y FROM n),
+u AS (SELECT id, i, max(((y * y + 362437) % 2147483647 + 1) / 2147483648.0::DOUBLE) FILTER (k = 1) AS u1, max(((y * y + 362437) % 2147483647 + 1) / 2147483648.0::DOUBLE) FILTER (k = 2) AS u2 FROM y GROUP BY ALL),
+v AS (SELECT id, greatest(-128, least(127, round_even(19.0::DOUBLE + 2.0::DOUBLE * sqrt(-2 * ln(u1)) * cos(u2 * 6.283185307179586::DOUBLE) + 90 * exp(-pow((i - 250) / 11.0::DOUBLE, 2)) * sin((i - 250) * 0.4::DOUBLE), 0))) AS v FROM u)
+SELECT id::INT AS scan_idx, (id // 20)::INT AS line, (id % 20)::INT AS col, sum(v)::BIGINT AS total, least(127, max(abs(v)))::INT AS absmax FROM v GROUP BY id""")
 def _synthetic(spark, d):
     from sonogrid.model import Header
     from sonogrid.sources.store import synthetic
 
-    return imaging.image(synthetic(spark, Header(20, 20, 500, 2500.0, 15000, 400.0)), "absmax")
+    df = synthetic(spark, Header(20, 20, 500, 2500.0, 15000, 400.0)).df
+    total = F.aggregate("signal", F.lit(0).cast("bigint"), lambda a, v: a + v.cast("bigint")).alias("total")
+    return df.select("scan_idx", "line", "col", total, exprs.image(F.col("signal"), "absmax").cast("int").alias("absmax"))

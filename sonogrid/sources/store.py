@@ -14,12 +14,15 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonogrid.functions.exprs import let
 from sonogrid.model import Header, Scan
 from sonogrid.operators.dataset import Dataset
 
 FORMAT_VERSION = 1
 CODEC = "zstd"
 BLOCK_BYTES = 16 << 20
+#: 2**31 - 1: squares below it fit a long
+NOISE_PRIME = 2147483647
 ASCANS = "scan_idx int, line int, col int, start int, label tinyint, signal array<tinyint>"
 
 
@@ -96,9 +99,15 @@ def convert(spark: SparkSession, paths: list[str], out: str, pad_value: float =
 
 
 def synthetic(spark: SparkSession, header: Header, seed: int = 42, noise: float = 2.0, offset: float = 19.0) -> Scan:
-    """Sine bursts in noise, made by the cluster from seeded hashes."""
+    """Sine bursts in noise, made by the cluster from a seeded integer recursion on (A-scan, sample)."""
     n = header.nlines * header.scanspline
-    u = lambda i, k: (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i, F.lit(k)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+
+    def u(i, k: int):
+        """A number in (0, 1): squares and products modulo NOISE_PRIME."""
+        first = (F.col("id") * 1000003 + i.cast("bigint") * 7919 + k * 104729 + seed * 611953) % NOISE_PRIME
+        last = lambda x: let((((x * x + 12820163) % NOISE_PRIME) * 48271 + x) % NOISE_PRIME, lambda y: (y * y + 362437) % NOISE_PRIME)
+        return (let(first, last) + 1) / F.lit(float(NOISE_PRIME + 1))
+
     gauss = lambda i: F.sqrt(-2 * F.log(u(i, 1))) * F.cos(u(i, 2) * 6.283185307179586)
     centre = header.scanlen / 2
     burst = lambda i: 90 * F.exp(-F.pow((i - centre) / (header.scanlen / 50 + 1), 2.0)) * F.sin((i - centre) * 0.4)
