@@ -1,9 +1,9 @@
 """Order MinHash fingerprints, in SQL functions only.
 
 A text's k-mers are runs of K units.  A unit is a piece of the text of a few
-characters: it ends at a white-space character, at one of the letters a, e, o, at
-any character from U+0370 on (which so is a unit or the end of one), or after
-MAX_UNIT + 1 characters.  Units cover the whole text, and where they end depends on
+characters (about three in prose in Latin letters): it ends at a white-space
+character, at one of the letters a, e, o or any character from U+0370 on, each with a
+white-space character that follows, or after MAX_UNIT characters without such an end.  Units cover the whole text, and where they end depends on
 the text around alone; so k-mers behind an insertion are found again, also in texts
 without spaces and in scripts that need none.
 
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 K = 3
 MAX_UNIT = 8
-_ENDS = r"\x09-\x0D\x20aeo\x{370}-\x{10FFFF}"
-UNIT = rf"[^{_ENDS}]{{1,{MAX_UNIT}}}+[{_ENDS}]?+|[{_ENDS}]"
+_BLANK, _END = r"\x09-\x0D\x20", r"aeo\x{370}-\x{10FFFF}"
+UNIT = rf"(?:[^{_BLANK}{_END}]{{1,{MAX_UNIT}}}+[{_END}]?+|[{_END}])[{_BLANK}]?+|[{_BLANK}]"
 TUPLE = 2
 SKETCHES = 24
 RANGE_ROWS = 512
@@ -92,13 +92,22 @@ def fingerprint(text: Column, sketches: int = SKETCHES) -> Column:
         return _let(F.sort_array(mers), of_sorted)
 
     def of_sorted(s: Column) -> Column:
-        def numbered(x: Column, i: Column) -> Column:
-            h = F.shiftright(x, _POS_BITS)
-            repeat = (i > 0) & (F.shiftright(F.get(s, i - 1), _POS_BITS) == h)
-            nth = i - place_of(s, F.shiftleft(h, _POS_BITS))
-            return F.when(repeat, _pack(F.xxhash64(h, nth), x.bitwiseAND(F.lit(low)))).otherwise(x)
+        # equal k-mers stand together: those after the first of a run get their number in it mixed in
+        same = lambda i: F.shiftright(F.get(s, i), _POS_BITS) == F.shiftright(F.get(s, i - 1), _POS_BITS)
+        starts = F.filter(_upto(F.size(s)), lambda i: (i == 0) | ~same(i))
 
-        return _let(F.sort_array(F.transform(s, numbered)), of_numbered)
+        def again(x: Column, nth: Column) -> Column:
+            return F.when(nth == 0, x).otherwise(_pack(F.xxhash64(F.shiftright(x, _POS_BITS), nth), x.bitwiseAND(F.lit(low))))
+
+        def of_runs(runs: Column) -> Column:
+            def run(at: Column, j: Column) -> Column:
+                n = F.coalesce(F.get(runs, j + 1), F.size(s)) - at
+                return F.when(n == 1, F.array(F.get(s, at))).otherwise(F.transform(F.slice(s, at + 1, n), again))
+
+            return F.flatten(F.transform(runs, run))
+
+        numbered = F.when(F.size(s) > 0, _let(starts, lambda runs: F.when(F.size(runs) == F.size(s), s).otherwise(F.sort_array(of_runs(runs)))))
+        return _let(numbered, of_numbered)
 
     def of_numbered(s: Column) -> Column:
         n = F.size(s)
