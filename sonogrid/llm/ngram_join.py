@@ -250,11 +250,14 @@ def _verified(docs: DataFrame, maps: DataFrame, pairs: DataFrame, k: int, num: i
     return written(joined.select("a", "b", "x", "y").mapInArrow(_links(num, den), "a long, b long"))
 
 
-def _hot(tokens: DataFrame, n_texts: int) -> DataFrame:
-    """(token, about): tokens of a large share of the texts with estimated frequencies, HOT_SHARE times a text's tokens at most."""
-    part = tokens.where(F.expr(f"pmod(xxhash64(doc_id, 23L), {SAMPLE}) = 0")).select(F.explode("tokens").alias("token"))
+def _hot(sampled: DataFrame, n_texts: int) -> DataFrame:
+    """(token, about): tokens of a large share of the texts with estimated frequencies, from the tokens of the sampled texts.
+
+    At most HOT_SHARE times a text's tokens.
+    """
     least = max(HOT_LEAST, n_texts // (SAMPLE * HOT_SHARE))
-    return written(part.groupBy("token").agg((F.count(F.lit(1)) * SAMPLE).alias("about")).where(F.col("about") >= least * SAMPLE))
+    counts = sampled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return written(counts.where(F.col("n") >= least).select("token", (F.col("n") * SAMPLE).alias("about")))
 
 
 def _prefixes(tokens: DataFrame, hot: DataFrame, num: int, den: int) -> DataFrame:
@@ -364,10 +367,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     classes = written(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id")))
     copies = written(full.join(classes, ["k1", "k2", "n"]).where("doc_id <> class_id").select("doc_id").distinct())
 
-    few = copies.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    tokens = docs.where("doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
-    tokens = tokens.mapInArrow(_listed(k, num, den), "doc_id long, n int, listed int, tokens array<bigint>")
-    lists = _prefixes(tokens, _hot(tokens, rows.count()), num, den)
+    given = docs.where("doc_id is not null").join(_by_size(copies), "doc_id", "left_anti")
+
+    def tokens(texts: DataFrame) -> DataFrame:
+        return texts.mapInArrow(_listed(k, num, den), "doc_id long, n int, listed int, tokens array<bigint>")
+
+    hot = _hot(tokens(given.where(f"pmod(xxhash64(doc_id, 23L), {SAMPLE}) = 0")), rows.count())
+    lists = _prefixes(tokens(given), hot, num, den)
     fields = ", ".join(f"b{i} long" for i in range(MAP_WORDS))
     chosen = _chosen(docs, lists.select("doc_id").distinct())
     maps = written(chosen.mapInArrow(_bitmaps(k), f"doc_id long, n long, wide binary, {fields}").dropDuplicates(["doc_id"]))
