@@ -178,6 +178,13 @@ class Scan:
         self.df.persist().count()
         return self
 
+    def materialize(self) -> Scan:
+        return self.load()
+
+    @property
+    def materialized(self) -> bool:
+        return self.loaded
+
     @property
     def backing(self) -> list[str]:
         """Files the rows are read from."""

@@ -8,7 +8,10 @@ and alignments are not.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sonogrid.model import Header, Scan
 from sonogrid.operators import align, imaging, spatial
@@ -43,6 +46,37 @@ class Cube:
     def __getattr__(self, name: str):
         return getattr(self.scan, name)
 
+    @property
+    def header(self) -> Header:
+        return self.scan.header
+
+    @header.setter
+    def header(self, header: Header) -> None:
+        """Not checked against the rows; ``validate`` does that."""
+        self.scan = replace(self.scan, header=header)
+
+    @property
+    def path(self) -> str:
+        return self.scan.path
+
+    @path.setter
+    def path(self, path: str) -> None:
+        self.scan = replace(self.scan, path=path)
+
+    @property
+    def starts(self) -> DataFrame:
+        return self.scan.starts
+
+    @starts.setter
+    def starts(self, starts: DataFrame | None) -> None:
+        """Own origins (scan_idx, start), or None for none; not checked."""
+        kept = self.scan.df.drop("start")
+        if starts is None:
+            kept = kept.withColumn("start", F.lit(None).cast("int"))
+        else:
+            kept = kept.join(starts.select("scan_idx", F.col("start").cast("int").alias("start")), "scan_idx", "left")
+        self.scan = replace(self.scan, df=kept.select(*self.scan.df.columns))
+
     def __len__(self) -> int:
         return len(self.scan)
 

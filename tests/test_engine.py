@@ -366,7 +366,7 @@ def test_scan_as_an_object(spark):
     assert Header.from_attributes({"scanspline": 1.0, "nlines": 2, "scanlen": 3, "quality": np.uint8(1), "version": 4, "odd": "x"}) == Header(1, 2, 3, quality=True, extra={"odd": "x"})
     with pytest.raises(TypeError):
         scan.header.set_extra("k", [1])
-    assert not scan.loaded and scan.load().loaded
+    assert not scan.loaded and scan.materialize().materialized
     scan.df.unpersist()
 
 
@@ -377,6 +377,12 @@ def test_in_place(spark, tmp_path):
     assert other is not cube and cube.downsample(1, "sample") is cube
     assert cube.rectangle_select(0, 1, 0, 2) is not cube and cube.rectangle_select(0, 1, 0, 2, in_place=True) is cube and cube.shape == (1, 2, 5)
     assert len(cube) == 2 and cube[0].count() == 1 and len(cube.label_set) == 2 and np.asarray(cube).shape == (2, 5)
+    cube.header = cube.header.set_extra("k", 1)
+    cube.starts = cube.df.selectExpr("scan_idx", "scan_idx + 5 as start")
+    cube.path = "here"
+    assert cube.header.extra == {"k": 1} and cube.path == "here" and sorted(r.start for r in cube.starts.collect()) == [5, 6]
+    cube.starts = None
+    assert cube.starts.where("start is not null").count() == 0 and cube.validate()
     cube.save(str(tmp_path / "c"))
     assert Cube.open(spark, str(tmp_path / "c")).path and cube.image("max").count() == 2 and cube.copy().scan is cube.scan
 
