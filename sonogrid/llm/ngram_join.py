@@ -281,8 +281,8 @@ def _prefixes(tokens: DataFrame, hot: DataFrame, num: int, den: int) -> DataFram
     chosen = placed.withColumn("l", F.expr(f"least({matches_by_cost()}, n - free)")).where("place <= free + l")
     chosen = chosen.withColumn("alone", F.expr("cast((listed - shared) / n as float)"))
     lists = written(chosen.select("token", "doc_id", "n", "l", "place", "rank", "alone").dropDuplicates(["token", "doc_id"]))
-    # counted before the shuffle, so a long list never meets in one task
-    met_again = lists.groupBy("token").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
+    # counted before the shuffle and written, so that the join's tasks read lists that can be split
+    met_again = written(lists.groupBy("token").agg(F.count(F.lit(1)).alias("len")).where("len > 1"))
     return written(lists.join(met_again, "token").select(*lists.columns, "len"))
 
 
