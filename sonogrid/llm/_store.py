@@ -34,17 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all that operators have written in this application; results not yet read or stored elsewhere go with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    delete(spark, _root(spark))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: later plans start there.
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (there to ``path``, if given) and read it back: later plans start there.
 
     Survives lost executors and is never recomputed, unlike a cache.
     """
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = path or shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -653,6 +653,42 @@ def test_mixing_margins_of_sample(spark, monkeypatch):
         assert far[r.doc_id].topic_shortfall == pytest.approx(r.topic_shortfall, abs=1e-4)
 
 
+def mixing_rows():
+    """Texts whose margins no sample fits together: most sources have one language."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(160):
+        source = rng.choice(["a"] * 6 + ["a\0", "b", "b", "c", None])
+        lang = {"a": "en", "b": "de"}.get(source) or rng.choice(["en", "fr"])
+        rows.append((i, "word " * rng.randint(1, 90), lang, source, f"k{rng.randint(0, 2)}"))
+    return rows + [(900, "", "xx", "a", "k0"), (901, None, "xx", "d", "k1")]
+
+
+def test_mixing_places_agree(spark, monkeypatch):
+    """Cells on the driver and cells as a table have the same results to the last bit, fit or no fit."""
+    df = spark.createDataFrame(mixing_rows(), "doc_id long, text string, lang string, source string, kind string")
+    monkeypatch.setattr(mixing, "STEPS", 2)
+    monkeypatch.setattr(mixing, "BOUNDED_STEPS", 4)
+    both = []
+    for most in (20_000, 0):
+        monkeypatch.setattr(mixing, "MAX_CELLS", most)
+        got = mixing.mix(df, keep=0.9, powers={"topic": 0.8, "lang": 0.0, "source": 0.5}, topic_col="kind")
+        both.append(sorted(map(tuple, got.select("doc_id", *mixing.RESULTS).collect())))
+    assert len(both[0]) == 162 and both[0] == both[1]
+    assert both[0][0][-2] > mixing.TOLERANCE and len({r[1] for r in both[0]}) == 6
+
+
+def test_mixing_order_of_cells():
+    rng = np.random.default_rng(4)
+    cells = [(f"s{a}", f"l{b}", f"t{c}") for a in range(9) for b in range(7) for c in range(5) if rng.random() < 0.7]
+    tokens = np.ceil(np.exp(rng.normal(5, 2, len(cells))))
+    order = rng.permutation(len(cells))
+    p, short, gap = mixing.rake_bounded(cells, tokens, 0.8)
+    q, far, apart = mixing.rake_bounded([cells[i] for i in order], tokens[order], 0.8)
+    assert (p[order] == q).all() and (short[order] == far).all() and gap == apart
+    assert (mixing.rake(cells, tokens)[order] == mixing.rake([cells[i] for i in order], tokens[order])).all()
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
