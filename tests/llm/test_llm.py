@@ -678,6 +678,20 @@ def test_mixing_places_agree(spark, monkeypatch):
     assert both[0][0][-2] > mixing.TOLERANCE and len({r[1] for r in both[0]}) == 6
 
 
+def test_pipeline_mixture_places_agree(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = [r[:4] for r in mixing_rows() if r[0] < 900]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    monkeypatch.setattr(mixing, "BOUNDED_STEPS", 3)
+    both = []
+    for most in (20_000, 0):
+        monkeypatch.setattr(mixing, "MAX_CELLS", most)
+        both.append(sorted(r.doc_id for r in corpus_pipeline.mixture(spark, df, "").collect()))
+    assert 0 < len(both[0]) < len(rows) and both[0] == both[1]
+
+
 def test_mixing_order_of_cells():
     rng = np.random.default_rng(4)
     cells = [(f"s{a}", f"l{b}", f"t{c}") for a in range(9) for b in range(7) for c in range(5) if rng.random() < 0.7]
