@@ -692,6 +692,25 @@ def test_pipeline_mixture_places_agree(spark, monkeypatch):
     assert 0 < len(both[0]) < len(rows) and both[0] == both[1]
 
 
+def test_pipeline_mixture_names_no_utf8(spark, monkeypatch):
+    """Sources whose bytes are no UTF-8 stay apart, and rows keep their cell's rates, on the driver and on tables."""
+    import corpus_pipeline
+
+    rows = [r[:4] for r in mixing_rows() if r[0] < 900]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    code = F.when(F.col("source") == "a", "73FE").when(F.col("source") == "b", "73FF").otherwise(F.hex("source"))
+    df = df.withColumn("source", F.unhex(code).cast("string"))
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    monkeypatch.setattr(mixing, "BOUNDED_STEPS", 3)
+    near = mixing.mix(df).select(F.hex("mix_source").alias("name"), "cell_weight", "mix_gap").collect()
+    assert {r.name for r in near} == {"", "73FE", "73FF", "6100", "63"} and all(r.cell_weight and r.mix_gap for r in near)
+    both = []
+    for most in (20_000, 0):
+        monkeypatch.setattr(mixing, "MAX_CELLS", most)
+        both.append(sorted(r.doc_id for r in corpus_pipeline.mixture(spark, df, "").select("doc_id").collect()))
+    assert 0 < len(both[0]) < len(rows) and both[0] == both[1]
+
+
 def test_mixing_order_of_cells():
     rng = np.random.default_rng(4)
     cells = [(f"s{a}", f"l{b}", f"t{c}") for a in range(9) for b in range(7) for c in range(5) if rng.random() < 0.7]
