@@ -22,6 +22,8 @@ name but doc_id, text and those of the results.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -107,11 +109,12 @@ def _letters(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _featured(batches):
+    """mapInArrow: language, mark and packed vector; most of a vector is zeros, and the driver gathers them."""
     for batch in batches:
         raw, offsets = _text.utf8(batch.column("text"))
         rows = []
         for a, b in _text.slices(offsets, FEATURE_BYTES):
-            rows += [r.astype(np.float16).tobytes() for r in features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+            rows += [zlib.compress(r.astype(np.float16).tobytes(), 1) for r in features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("mark"), pa.array(rows, pa.binary())], ["lang", "mark", "x"])
 
 
@@ -131,13 +134,16 @@ def train(docs: DataFrame, usable) -> tuple[list[str], dict] | None:
     marked = rows.where(chosen).select("lang", F.xxhash64("doc_id", "text").alias("mark"), "text")
     merged = marked.mapInArrow(_featured, "lang string, mark long, x binary").groupBy("lang", "mark").agg(F.min("x").alias("x"))
     ranked = merged.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).where(F.col("nth") <= share)
-    got = ranked.select("lang", "x").collect()  # at most MAX_TRAIN rows
+    got = sorted((r.lang, zlib.decompress(r.x)) for r in ranked.select("lang", "x").collect())  # at most MAX_TRAIN rows
     if not got:
         return None
-    got.sort(key=lambda r: (r.lang, bytes(r.x)))
-    langs = sorted({r.lang for r in got})
-    x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32)
-    return langs, fit(x, np.array([langs.index(r.lang) for r in got]), len(langs))
+    langs = sorted({lang for lang, _ in got})
+    y = np.array([langs.index(lang) for lang, _ in got])
+    x = np.empty((len(got), DIM), np.float32)
+    for i, (_, raw) in enumerate(got):
+        x[i] = np.frombuffer(raw, np.float16)
+    del got
+    return langs, fit(x, y, len(langs))
 
 
 def _scorer(shared):

@@ -847,6 +847,17 @@ def test_code_corrects_a_wrong_bit():
         assert (language_id.decode(model, wrong)[0] == lang).all()
 
 
+def test_language_vectors_travel_packed():
+    texts = ["the cat sat on the mat", "der Hund lief um das Haus", None, "", "x" * 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de", "en", "en", "de"]), pa.array(range(5), pa.int64()), pa.array(texts)], ["lang", "mark", "text"])
+    (got,) = language_id._featured([batch])
+    raw, offsets = _text.utf8(batch.column("text"))
+    want = language_id.features(raw, offsets).astype(np.float16)
+    packed = got.column("x").to_pylist()
+    assert [zlib.decompress(x) for x in packed] == [x.tobytes() for x in want]
+    assert sum(map(len, packed)) * 10 < want.nbytes
+
+
 @pytest.mark.parametrize("ids", ["1L", "cast(null as long)", "id % 3"])
 def test_language_id_with_ids_that_repeat(spark, monkeypatch, ids):
     monkeypatch.setattr(language_id, "MAX_TRAIN", 40)
