@@ -59,7 +59,7 @@ def read_scan(spark: SparkSession, path: str, first: int | None = None, count: i
     header = Header.from_json(meta.header)
     df = spark.read.schema(ASCANS).parquet(f"{path}/ascans")
     if first is not None:
-        if first < 0 or count < 0 or first + count > header.nlines * header.scanspline:
+        if first < 0 or count < 0 or first + count > header.num_scans:
             raise ValueError("rows out of range")
         df = df.where((F.col("scan_idx") >= first) & (F.col("scan_idx") < first + count))
     return Scan(df, header, tuple(json.loads(meta.label_names)), path)
@@ -100,7 +100,7 @@ def convert(spark: SparkSession, paths: list[str], out: str, pad_value: float =
 
 def synthetic(spark: SparkSession, header: Header, seed: int = 42, noise: float = 2.0, offset: float = 19.0) -> Scan:
     """Sine bursts in noise, made by the cluster from a seeded integer recursion on (A-scan, sample)."""
-    n = header.nlines * header.scanspline
+    n = header.num_scans
 
     def u(i, k: int):
         """A number in (0, 1): squares and products modulo NOISE_PRIME."""

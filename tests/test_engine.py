@@ -33,6 +33,35 @@ def test_query_equals_sql(spark, con, name):
     assert compare.difference(spark, con, plans.QUERIES[name], plans.ORACLES[name], SF) is None
 
 
+@pytest.fixture(scope="module")
+def ragged(tmp_path_factory):
+    """A folder whose cube has nine lines and half a line."""
+    at = str(tmp_path_factory.mktemp("ragged"))
+    compare.connect(SF).execute(f"COPY (SELECT * FROM embeddings WHERE vec_id < 190) TO '{at}/embeddings.parquet'")
+    return at
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["set_labels"])
+def test_query_equals_sql_on_a_ragged_cube(spark, ragged, name):
+    assert compare.difference(spark, compare.connect(ragged), plans.QUERIES[name], plans.ORACLES[name], ragged) is None
+
+
+def test_ragged_scan(spark, tmp_path):
+    x = np.arange(7)[:, None].repeat(3, 1)
+    scan = store.from_rows(spark, x, Header(3, 2, 3, rest=1))
+    assert len(scan) == 7 and Header.from_json(scan.header.to_json()) == scan.header
+    assert spatial.read_rows(scan, -1).first().scan_idx == 6 and spatial.read_rows(scan, (2, 0)).first().scan_idx == 6
+    assert [r.scan_idx for r in spatial.read_rows(scan, slice(5, None)).orderBy("scan_idx").collect()] == [5, 6]
+    with pytest.raises(IndexError):
+        spatial.read_rows(scan, (2, 1))
+    assert len(spatial.rectangle_select(scan, 0, 2, 0, 3).validate()) == 6
+    store.write_scan(scan, str(tmp_path / "s"))
+    assert len(store.read_scan(spark, str(tmp_path / "s")).validate()) == 7 and store.read_scan(spark, str(tmp_path / "s"), 5, 2).df.count() == 2
+    with pytest.raises(ValueError):
+        L.set_labels(scan, spark.range(6).selectExpr("cast(id as int) as scan_idx", "0 as label"), ("healthy",))
+
+
 def grid(spark, nlines=3, cols=4, n=5, fs=25.0, starts=True):
     x = np.zeros((nlines * cols, n), int)
     x[:, 0], x[:, 1] = np.arange(nlines * cols), 7
