@@ -42,7 +42,7 @@ def ragged(tmp_path_factory):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["set_labels", "batches"])
+@pytest.mark.parametrize("name", ["set_labels", "batches", "cube_counts"])
 def test_query_equals_sql_on_a_ragged_cube(spark, ragged, name):
     assert compare.difference(spark, compare.connect(ragged), plans.QUERIES[name], plans.ORACLES[name], ragged) is None
 
@@ -62,6 +62,18 @@ def test_ragged_scan(spark, tmp_path):
         L.set_labels(scan, spark.range(6).selectExpr("cast(id as int) as scan_idx", "0 as label"), ("healthy",))
 
 
+def test_ragged_dataset(spark, tmp_path):
+    scans = [store.from_rows(spark, np.arange(n)[:, None].repeat(3, 1), Header(3, n // 3, 3, rest=n % 3), np.arange(n) % 2, names=("healthy", "a")) for n in (7, 5)]
+    store.write_dataset(dataset.pool(scans), str(tmp_path / "d"))
+    ds = store.read_dataset(spark, str(tmp_path / "d"))
+    assert (len(ds), ds.cube_counts, ds.cube_shapes) == (12, [7, 5], [(2, 3), (1, 3)])
+    assert [r.data[0] for r in dataset.read_rows(ds, [7, 11]).orderBy("pos").collect()] == [0, 4]
+    assert np.asarray(ds)[:, 0].tolist() == [*range(7), *range(5)] and ds.train_indices.tolist() == list(range(12))
+    for bad in (lambda: dataset.cube_array(ds, 0, "x"), lambda: next(dataset.cube_batches(ds))):
+        with pytest.raises(ValueError, match="not whole"):
+            bad()
+
+
 def grid(spark, nlines=3, cols=4, n=5, fs=25.0, starts=True):
     x = np.zeros((nlines * cols, n), int)
     x[:, 0], x[:, 1] = np.arange(nlines * cols), 7
