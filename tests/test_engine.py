@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import compare
 import fakes
 from sonogrid.functions import exprs, kernels
-from sonogrid.model import Header
+from sonogrid.model import Header, Scan
 from sonogrid.operators import align, dataset, imaging, spatial
 from sonogrid.operators import labels as L
 from sonogrid.plans import queries as plans
@@ -42,7 +42,7 @@ def ragged(tmp_path_factory):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["set_labels", "batches", "cube_counts", "patch_arrays", "pool_pad"])
+@pytest.mark.parametrize("name", ["set_labels", "batches", "cube_counts", "patch_arrays", "pool_pad", "spatial"])
 def test_query_equals_sql_on_a_ragged_cube(spark, ragged, name):
     assert compare.difference(spark, compare.connect(ragged), plans.QUERIES[name], plans.ORACLES[name], ragged) is None
 
@@ -62,6 +62,12 @@ def test_ragged_scan(spark, tmp_path):
         L.set_labels(scan, spark.range(6).selectExpr("cast(id as int) as scan_idx", "0 as label"), ("healthy",))
 
 
+def test_places_of_a_long_cube(spark):
+    df = spark.range(30_000).selectExpr("cast(id as int) as scan_idx", "cast(id as int) as line", "0 as col", "cast(null as int) as start", "cast(0 as tinyint) as label", "array(cast(1 as tinyint)) as signal")
+    got = dataset.pool([Scan(df, Header(1, 30_000, 1, resolution=400.0))]).spatial
+    assert got.where("round(y, 4) <> row_id * 4 / 10d").count() == 0
+
+
 def test_ragged_dataset(spark, tmp_path):
     scans = [store.from_rows(spark, np.arange(n)[:, None].repeat(3, 1), Header(3, n // 3, 3, rest=n % 3), np.arange(n) % 2, names=("healthy", "a")) for n in (7, 5)]
     store.write_dataset(dataset.pool(scans), str(tmp_path / "d"))
