@@ -42,7 +42,7 @@ def ragged(tmp_path_factory):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["set_labels", "batches", "cube_counts", "patch_arrays", "pool_pad", "spatial", "spatial_patches", "split_by_cube", "split_by_label", "split_by_label_share", "stratified_train_test_split", "train_test_split", "train_test_split_ordered"])
+@pytest.mark.parametrize("name", ["set_labels", "batches", "cube_counts", "patch_arrays", "pool_pad", "spatial", "spatial_patches", "split_by_cube", "split_by_label", "split_by_label_share", "stratified_train_test_split", "train_test_split", "train_test_split_ordered", "transform"])
 def test_query_equals_sql_on_a_ragged_cube(spark, ragged, name):
     assert compare.difference(spark, compare.connect(ragged), plans.QUERIES[name], plans.ORACLES[name], ragged) is None
 
