@@ -80,6 +80,16 @@ def test_ragged_dataset(spark, tmp_path):
             bad()
 
 
+def test_ragged_files(spark, monkeypatch):
+    monkeypatch.setitem(sys.modules, "h5py", fakes.h5py())
+    scan = store.from_rows(spark, np.arange(7)[:, None].repeat(3, 1), Header(3, 2, 3, rest=1), [0] * 7)
+    hdf5.write_scan_file(scan, "r.h5sam")
+    assert len(hdf5.read_scan_file(spark, "r.h5sam").validate()) == 7
+    hdf5.write_dataset_file(dataset.pool([scan, scan]), "r.h5samd")
+    back = hdf5.read_dataset_file(spark, "r.h5samd")
+    assert back.cube_counts == [7, 7] and np.asarray(back)[:, 0].tolist() == [*range(7), *range(7)]
+
+
 def grid(spark, nlines=3, cols=4, n=5, fs=25.0, starts=True):
     x = np.zeros((nlines * cols, n), int)
     x[:, 0], x[:, 1] = np.arange(nlines * cols), 7
